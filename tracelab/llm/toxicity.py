@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dic
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(texts, toxic, share))]})
 
     # The join's one side has at most 3 * per_class ids and so has what comes out, which one task can hold.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").coalesce(1)
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").repartition(1)
     rows = sample.mapInArrow(run, "model binary").collect()
     return pickle.loads(rows[0]["model"]) if rows else fit([], [], share)
 
