@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelab.llm import language, toxicity
+from tracelab.llm import language, lexicon, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": language.op2_language,
+    "op5_packing": packing.op5_packing,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_bpe": lexicon.op9_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
