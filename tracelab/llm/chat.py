@@ -177,3 +177,19 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return read_chats(format_chats(rows.unionByName(added)))
+
+
+OP6_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+shown AS (
+  SELECT *, length(regexp_replace(role, e, '\1\\\2', 'g')) + length(regexp_replace(text, e, '\1\\\2', 'g')) + 24 AS n
+  FROM said, (SELECT '([<\[])(\\*(?:\|chat\|>|\|/chat\|>|\|turn\|>|\|text\|>|\|end\|>|s>|/s>|INST\]|/INST\]))' AS e))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(n) + 17)::BIGINT AS formatted_chars
+FROM shown GROUP BY conv_id
+"""

@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelab.llm import language, lexicon, packing, toxicity
+from tracelab.llm import chat, fingerprint, language, lexicon, packing, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": language.op2_language,
+    "op3_topk": topk.op3_topk,
+    "op4_fingerprint": fingerprint.op4_fingerprint,
     "op5_packing": packing.op5_packing,
+    "op6_chat": chat.op6_chat,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": lexicon.op9_bpe,
+    "op10_warc": warc.op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_topk": topk.OP3_SQL,
+    "op6_chat": chat.OP6_SQL,
+    "op10_warc": warc.OP10_SQL,
+}

@@ -199,3 +199,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = S.shared_path(spark, "warc")
     write_archives(S.table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path)
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS first, count(*) OVER (PARTITION BY sha) AS n FROM p)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(sha, 1 + 5 * (i // 4)::INTEGER, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31), 1)), '') AS payload_digest,
+  CASE WHEN n > 1 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n > 1 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
