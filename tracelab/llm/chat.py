@@ -184,7 +184,7 @@ WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 shown AS (
-  SELECT *, length(regexp_replace(role, e, '\1\\\2', 'g')) + length(regexp_replace(text, e, '\1\\\2', 'g')) + 24 AS n
+  SELECT *, length(regexp_replace(role, e, '\1\\\2', 'g')) + length(regexp_replace(text, e, '\1\\\2', 'g')) + 23 AS n
   FROM said, (SELECT '([<\[])(\\*(?:\|chat\|>|\|/chat\|>|\|turn\|>|\|text\|>|\|end\|>|s>|/s>|INST\]|/INST\]))' AS e))
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
