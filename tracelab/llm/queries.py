@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelab.llm import chat, fingerprint, language, lexicon, packing, topk, toxicity, warc
+from tracelab.llm import chat, fingerprint, language, lexicon, lines, packing, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": language.op2_language,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprint": fingerprint.op4_fingerprint,
     "op5_packing": packing.op5_packing,
     "op6_chat": chat.op6_chat,
+    "op7_lines": lines.op7_lines,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": lexicon.op9_bpe,
     "op10_warc": warc.op10_warc,
