@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelab.llm import chat, fingerprint, language, lexicon, lines, packing, topk, toxicity, warc
+from tracelab.llm import chat, fingerprint, language, lexicon, lines, neardup, packing, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neardup": neardup.op1_neardup,
     "op2_language": language.op2_language,
     "op3_topk": topk.op3_topk,
     "op4_fingerprint": fingerprint.op4_fingerprint,
