@@ -22,7 +22,7 @@ def stable_seed(*parts: Column | str | int) -> Column:
 
 def round_exact(x: Column, places: int = 4) -> Column:
     """Rounds the exact binary value, half to even."""
-    return F.regexp_replace(F.format_number(x, "0." + "0" * places), ",", "").cast("double")
+    return F.regexp_replace(F.call_function("format_number", x, F.lit("0." + "0" * places)), ",", "").cast("double")
 
 
 def dot(a: Column, b: Column) -> Column:

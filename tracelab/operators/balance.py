@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracelab.functions import numbers as N
 from tracelab.operators.traces import selection_of
 from tracelab.schemas import QUOTAS, SOURCE_STRATEGY, TARGET_STRATEGIES
+from tracelab.sources.staging import staged
 
 
 def reusable(candidates: Column, selected_id: Column, strategy: str) -> Column:
@@ -41,8 +42,9 @@ def allocate(rows: DataFrame, quota: Column, rank: Column, group: str = "split")
 def plan(traces: DataFrame, seed: int, quotas: Mapping[str, Mapping[str, int]] = QUOTAS, targets=TARGET_STRATEGIES, source: str = SOURCE_STRATEGY) -> DataFrame:
     """traces: example_id, split, stratum, strategy (selected), selected_id, candidates (candidate_id, strategy). Assignments: example_id, split, target_strategy, source, candidate_id.
 
-    For each target: rows with a reusable candidate, then rows that no later target could reuse, then any."""
+    For each target: rows with a reusable candidate, then rows that no later target could reuse, then any. Each step depends on those before it, so their rows are staged."""
     pool = traces.where(F.col("strategy") == source).select("example_id", "split", "stratum", "selected_id", "candidates", *(reusable(F.col("candidates"), F.col("selected_id"), t).alias(f"_r{i}") for i, t in enumerate(targets)))
+    pool = staged(pool, "plan-pool")
     taken: DataFrame | None = None
     for i, target in enumerate(targets):
         free = pool if taken is None else pool.join(taken.select("example_id"), "example_id", "left_anti")
@@ -59,7 +61,7 @@ def plan(traces: DataFrame, seed: int, quotas: Mapping[str, Mapping[str, int]] =
                 done = step.groupBy("split").agg(F.count("*").alias("_done"))
                 rest = rest.join(F.broadcast(done), "split", "left")  # a row for each split
                 need = F.greatest(quota - F.coalesce("_done", F.lit(0)), F.lit(0))
-            got = allocate(rest.where(own), need, rank).select(*free.columns)
+            got = staged(allocate(rest.where(own), need, rank).select(*free.columns), "plan-step")
             step = got if step is None else step.unionByName(got)
         planned = F.filter("candidates", lambda c, t=target: c["strategy"] == t)
         chosen = F.coalesce(F.col(f"_r{i}"), F.try_element_at(planned, F.lit(1))["candidate_id"], F.col("selected_id"))
