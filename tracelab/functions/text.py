@@ -74,25 +74,22 @@ def visible_reply(text: Column) -> Column:
 
 def visible_problem(text: Column) -> Column:
     """Why a text isn't a sequence of all markers with values, the first problem; null if it is. A value ends at the first next marker."""
-    problem = F.lit(None).cast("string")
-    at = F.lit(1)
-    checks = []
-    for i, marker in enumerate(VISIBLE_MARKERS):
-        starts = F.substring(text, at, F.lit(len(marker))) == F.lit(marker)
-        begin = at + F.lit(len(marker))
-        if i + 1 < len(VISIBLE_MARKERS):
-            following = VISIBLE_MARKERS[i + 1]
-            end = F.locate(following, F.substring(text, begin, F.length(text)))
-            value = F.substring(text, begin, end - 1)
-            checks += [(~starts, f"visible-SFT marker {marker} is missing or out of order"), (end == 0, f"visible-SFT marker {following} is missing or out of order")]
-            at = begin + end - 1
-        else:
-            value = F.substring(text, begin, F.length(text))
-            checks.append((~starts, f"visible-SFT marker {marker} is missing or out of order"))
-        checks.append((~not_blank(value), f"visible-SFT value for {marker} must not be empty"))
-    for wrong, why in reversed(checks):
-        problem = F.when(wrong, F.lit(why)).otherwise(problem)
-    return problem
+    following = (*VISIBLE_MARKERS[1:], None)
+    markers = F.array(*(F.struct(F.lit(m).alias("marker"), F.lit(n).cast("string").alias("following")) for m, n in zip(VISIBLE_MARKERS, following, strict=True)))
+    say = lambda before, marker, after: F.concat(F.lit(f"visible-SFT {before}"), marker, F.lit(after))
+
+    def step(s: Column, m: Column) -> Column:
+        rest = F.substring(text, s["at"] + F.length(m["marker"]), F.length(text))
+        end = F.when(m["following"].isNull(), F.length(rest) + 1).otherwise(F.position(m["following"], rest))
+        problem = (
+            F.when(F.substring(text, s["at"], F.length(m["marker"])) != m["marker"], say("marker ", m["marker"], " is missing or out of order"))
+            .when(end == 0, say("marker ", m["following"], " is missing or out of order"))
+            .when(~not_blank(F.substring(rest, F.lit(1), end - 1)), say("value for ", m["marker"], " must not be empty"))
+        )
+        return F.struct((s["at"] + F.length(m["marker"]) + end - 1).alias("at"), F.coalesce(s["problem"], problem).alias("problem"))
+
+    start = F.struct(F.lit(1).alias("at"), F.lit(None).cast("string").alias("problem"))
+    return F.aggregate(markers, start, step)["problem"]
 
 
 def fenced_payload(text: Column) -> Column:

@@ -239,8 +239,8 @@ def _planner_sql() -> str:
                 f"need{n} AS (SELECT p.split, p.stratum, p.n, sum(p.n) OVER (PARTITION BY p.split) AS total, greatest((SELECT max(q) FROM quota WHERE quota.split = p.split AND t = {i}) - ({done}), 0) AS q FROM size{n} p)",
                 f"part{n} AS (SELECT *, least(q, total) * n // total AS base, least(q, total) * n % total AS rest FROM need{n})",
                 f"share{n} AS (SELECT split, stratum, base + (row_number() OVER (PARTITION BY split ORDER BY rest DESC, stratum) <= least(q, total) - sum(base) OVER (PARTITION BY split))::INTEGER AS k FROM part{n})",
-                f"rank{n} AS (SELECT *, row_number() OVER (PARTITION BY split, stratum ORDER BY {_sha(f"'{D.SEED}'", f"'{target}'", 'example_id')}, example_id) AS at FROM free{n})",
-                f"got{n} AS MATERIALIZED (SELECT r.*, {i} AS t FROM rank{n} r JOIN share{n} s ON r.split = s.split AND r.stratum = s.stratum WHERE at <= k)",
+                f"rank{n} AS (SELECT *, row_number() OVER (PARTITION BY split, stratum ORDER BY {_sha(f"'{D.SEED}'", f"'{target}'", 'example_id')}, example_id) AS pos FROM free{n})",
+                f"got{n} AS MATERIALIZED (SELECT r.*, {i} AS t FROM rank{n} r JOIN share{n} s ON r.split = s.split AND r.stratum = s.stratum WHERE pos <= k)",
             ]
             taken.append(n)
     rows = " UNION ALL ".join(f"SELECT example_id, split, selected_id, r{x[0]} AS r, t FROM got{x}" for x in taken)
@@ -269,8 +269,8 @@ def assignment_counts(spark, d):
 size AS (SELECT split, stratum, count(*) AS n FROM rows GROUP BY 1, 2), part AS (SELECT *, sum(n) OVER (PARTITION BY split) AS total FROM size),
 q AS (SELECT *, least(100, total) * n // total AS base, least(100, total) * n % total AS rest FROM part),
 share AS (SELECT split, stratum, base + (row_number() OVER (PARTITION BY split ORDER BY rest DESC, stratum) <= least(100, total) - sum(base) OVER (PARTITION BY split))::INTEGER AS k FROM q),
-at AS (SELECT *, row_number() OVER (PARTITION BY split, stratum ORDER BY {_sha("'7'", "'sample'", "example_id")}, example_id) AS a FROM rows)
-SELECT r.example_id, r.split FROM at r JOIN share s ON r.split = s.split AND r.stratum = s.stratum WHERE a <= k""")
+placed AS (SELECT *, row_number() OVER (PARTITION BY split, stratum ORDER BY {_sha("'7'", "'sample'", "example_id")}, example_id) AS a FROM rows)
+SELECT r.example_id, r.split FROM placed r JOIN share s ON r.split = s.split AND r.stratum = s.stratum WHERE a <= k""")
 def quota_sample(spark, d):
     own = D.planning(spark, d).select("example_id", "split", "stratum")
     return balance.allocate(own, F.lit(100), N.digest(7, "sample", F.col("example_id"))).select("example_id", "split")
@@ -290,9 +290,9 @@ def derivative_diff(spark, d):
     return balance.derivative_problems(own, balance.apply_reuse(own, planned), planned)
 
 
-@query(f"""{_PLAN}, q AS (SELECT *, row_number() OVER (PARTITION BY source, split, target_strategy ORDER BY {_sha(f"'{D.SEED}'", "'review'", "example_id")}, example_id) AS at,
+@query(f"""{_PLAN}, q AS (SELECT *, row_number() OVER (PARTITION BY source, split, target_strategy ORDER BY {_sha(f"'{D.SEED}'", "'review'", "example_id")}, example_id) AS pos,
 greatest(1, round_even(count(*) OVER (PARTITION BY source, split, target_strategy) * 0.2::DOUBLE, 0)) AS k FROM plan)
-SELECT example_id, split, target_strategy, source FROM q WHERE source = 'generate' OR at <= k""")
+SELECT example_id, split, target_strategy, source FROM q WHERE source = 'generate' OR pos <= k""")
 def review_queue(spark, d):
     return balance.review_queue(_plan(spark, d).drop("candidate_id"), D.SEED)
 
@@ -470,8 +470,8 @@ def anonymous_ids(spark, d):
 
 _PAIRS = f"""WITH {D.JUDGMENTS}, b AS (SELECT l.split, l.example_id, l.model_id AS lm, r.model_id AS rm, {_sha("'11'", "l.split", "l.model_id", "r.model_id", "l.example_id")} AS h
   FROM judged l JOIN judged r ON l.split = r.split AND l.example_id = r.example_id AND l.model_id < r.model_id),
-n AS (SELECT *, row_number() OVER (ORDER BY split, lm, rm, h) AS at, row_number() OVER (PARTITION BY split, lm, rm ORDER BY h) AS k FROM b),
-pairs AS (SELECT 'pair-' || lpad(at::VARCHAR, 6, '0') AS pair_id, split, example_id, CASE WHEN k % 2 = 1 THEN lm ELSE rm END AS model_a, CASE WHEN k % 2 = 1 THEN rm ELSE lm END AS model_b, at FROM n)"""
+n AS (SELECT *, row_number() OVER (ORDER BY split, lm, rm, h) AS pos, row_number() OVER (PARTITION BY split, lm, rm ORDER BY h) AS k FROM b),
+pairs AS (SELECT 'pair-' || lpad(pos::VARCHAR, 6, '0') AS pair_id, split, example_id, CASE WHEN k % 2 = 1 THEN lm ELSE rm END AS model_a, CASE WHEN k % 2 = 1 THEN rm ELSE lm END AS model_b, pos FROM n)"""
 
 
 @query(f"{_PAIRS} SELECT pair_id, split, example_id, model_a, model_b FROM pairs")
@@ -480,7 +480,7 @@ def human_pairs(spark, d):
     return quality.blinded_pairs(own, 11).drop("response_a", "response_b")
 
 
-@query(f"""{_PAIRS}, v AS (SELECT *, least(model_a, model_b) AS first, greatest(model_a, model_b) AS second, CASE (at * 7) % 6 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'tie' WHEN 3 THEN 'x' WHEN 4 THEN '' END AS c FROM pairs),
+@query(f"""{_PAIRS}, v AS (SELECT *, least(model_a, model_b) AS first, greatest(model_a, model_b) AS second, CASE (pos * 7) % 6 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'tie' WHEN 3 THEN 'x' WHEN 4 THEN '' END AS c FROM pairs),
 g AS (SELECT split, first, second, count(*) FILTER (c IN ('a', 'b', 'tie')) AS valid_votes, count(*) FILTER (c = 'tie') AS ties, count(*) FILTER (coalesce(c, '') = '') AS missing, count(*) FILTER (c = 'x') AS invalid,
   count(*) FILTER (CASE c WHEN 'a' THEN model_a WHEN 'b' THEN model_b END = first) AS w1, count(*) FILTER (CASE c WHEN 'a' THEN model_a WHEN 'b' THEN model_b END = second) AS w2 FROM v GROUP BY 1, 2, 3),
 l AS (SELECT *, first AS model_id, w1 AS wins FROM g UNION ALL SELECT *, second, w2 FROM g)
