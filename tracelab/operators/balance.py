@@ -23,6 +23,11 @@ def reusable(candidates: Column, selected_id: Column, strategy: str) -> Column:
     return F.when(F.size(found) > 1, F.raise_error(F.lit(f"several reusable candidates of {strategy}"))).otherwise(F.try_element_at(found, F.lit(1))["candidate_id"])
 
 
+def _first_of(strategy: str) -> Column:
+    """Id of the first candidate of a strategy."""
+    return F.try_element_at(F.filter("candidates", lambda c: c["strategy"] == strategy), F.lit(1))["candidate_id"]
+
+
 def stratum(phase: Column, emotion: Column, distress: Column) -> Column:
     return F.concat_ws(N.NUL, F.coalesce(phase, F.lit("unknown")), emotion, distress)
 
@@ -63,8 +68,7 @@ def plan(traces: DataFrame, seed: int, quotas: Mapping[str, Mapping[str, int]] =
                 need = F.greatest(quota - F.coalesce("_done", F.lit(0)), F.lit(0))
             got = staged(allocate(rest.where(own), need, rank).select(*free.columns), "plan-step")
             step = got if step is None else step.unionByName(got)
-        planned = F.filter("candidates", lambda c, t=target: c["strategy"] == t)
-        chosen = F.coalesce(F.col(f"_r{i}"), F.try_element_at(planned, F.lit(1))["candidate_id"], F.col("selected_id"))
+        chosen = F.coalesce(F.col(f"_r{i}"), _first_of(target), F.col("selected_id"))
         step = step.select("example_id", "split", F.lit(target).alias("target_strategy"), F.when(F.col(f"_r{i}").isNotNull(), "reuse").otherwise("generate").alias("source"), chosen.alias("candidate_id"))
         taken = step if taken is None else taken.unionByName(step)
     return taken
