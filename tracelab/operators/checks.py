@@ -256,3 +256,21 @@ def loads_object(text: str) -> dict:
     if not isinstance(value, dict):
         raise ValueError("a JSON object is needed")
     return value
+
+
+def judgment_rules() -> list[Rule]:
+    """Scores from 1 to 5 and an overall that is their rounded mean."""
+    from tracelab.operators.quality import overall_score
+    from tracelab.schemas import DIMENSIONS
+
+    scores = [F.col(f"scores.{d}") for d in DIMENSIONS]
+    return [
+        *((f"{d} is out of range", s.between(1, 5)) for d, s in zip(DIMENSIONS, scores, strict=True)),
+        ("overall differs from the mean of scores", F.col("overall") == overall_score(scores)),
+        ("short_reason is too long", F.length("short_reason") <= 500),
+    ]
+
+
+def visible_rules(response: str = "response") -> list[Rule]:
+    """Of a row of the visible dataset; ids must be unique besides."""
+    return [("split isn't trainable", F.col("split").isin("train", "dev")), ("the target's markers or values are wrong", X.visible_problem(F.col(response)).isNull())]

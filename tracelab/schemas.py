@@ -68,3 +68,9 @@ ROUND_TURN = _struct(turn_index=_I, round_index=_I, role=_S, content=_S)
 RESPONSE = _struct(protocol_version=_S, example_id=_S, split=_S, model_id=_S, response_source=_S, history=HISTORY, response=_S, raw_response=_S, generation_seed=_I, generation_config=_S, reused=T.BooleanType())
 JUDGMENT = _struct(example_id=_S, split=_S, model_id=_S, scores=_struct(**{d: _I for d in DIMENSIONS}), overall=T.DoubleType(), dimension_reasons=_struct(**{d: _S for d in DIMENSIONS}), short_reason=_S, call_records=_L(CALL_RECORD))
 ANNOTATION = ("pair_id", "split", "example_id", "history", "response_a", "response_b", "preference", "reviewer_id", "comment")
+
+
+def state_labels(spark):
+    """field and value, with the place of a value within its field: a small table for lookups and coverage."""
+    rows = [(f, v, i) for f, values in STATE_VALUES.items() for i, v in enumerate(values, 1)]
+    return spark.createDataFrame(rows, "field string, value string, place int")
