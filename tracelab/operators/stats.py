@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelab.functions import numbers as N
 
 
 def retention(base: Column, teacher: Column, student: Column, least_gain: float = 0.2) -> Column:
