@@ -139,6 +139,50 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r.copies == sizes[r.class_id] and r.kept == (r.doc_id == r.class_id) for r in got)
 
 
+def variants(seed, many, words, changes):
+    """Copies of one text, each with changed words of its own."""
+    own = random.Random(seed)
+    base = [f"w{own.randrange(5000)}" for _ in range(words)]
+    rows = []
+    for i in range(many):
+        text = list(base)
+        for at in own.sample(range(words), changes):
+            text[at] = f"v{own.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_variants_of_one_text_equal_brute_force(spark):
+    rows = variants(1, 400, 270, 4)
+    want = brute_classes(rows)
+    assert 17 < len(set(want.values())) < 400
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
+@pytest.mark.parametrize("size", [3, 512])
+def test_blocks_equal_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(N, "BLOCK", size)
+    monkeypatch.setattr(N, "WIDE", 50)
+    rows = variants(5, 40, 100, 2)
+    hasher = N.Hasher()
+    texts = [N.shingles(hasher(t.split())) for _, t in rows]
+    now = [("k", bytes([i]), len(x), bytes([i // 2 if i < 20 else 0])) for i, x in enumerate(texts)]
+    sequences = spark.createDataFrame([(bytes([i]), x.astype("<u4").tobytes()) for i, x in enumerate(texts)], "node binary, shingles binary")
+    links = N.blockwise(spark.createDataFrame(now, "key string, node binary, n int, label binary"), sequences, 0.8).collect()
+    near = {tuple(sorted((now[i][3], now[j][3]))) for i in range(40) for j in range(i) if now[i][3] != now[j][3] and N.similarity(texts[j], texts[i]) >= 0.8}
+
+    def components(pairs):
+        of = {r[3]: r[3] for r in now}
+        for a, b in pairs:
+            x, y = of[bytes(a)], of[bytes(b)]
+            of = {k: min(x, y) if v in (x, y) else v for k, v in of.items()}
+        return of
+
+    assert {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in links} <= near
+    assert components([(r.a, r.b) for r in links]) == components(near)
+
+
 def test_near_edge_cases(spark):
     text = " ".join(f"a{i}" for i in range(80))
     rows = [(None, text), (4, text), (4, text), (6, text + " end"), (7, "solo")]

@@ -10,10 +10,11 @@ enough similarity can have. With m matched of n1 and n2 the similarity is m / (n
 
 Classes are the connected components of links. Equal texts are one node from the start. A round compares one leader of each bucket, chosen by hash, with the
 members that are of another class and of fitting length, and contracts the classes that links join. A leader has met all of its bucket and leaves it. A
-bucket leaves when one class is left in it. After the first round all members of a bucket of at most ``SMALL`` lead, so that each pair in it is linked, or in one class,
-or compared. Larger buckets that still hold several classes are split by the key of the next band, then of the one after that, and the smaller buckets go
-through the same rounds. So pairs grow with members, whatever a group's size, and no group's pairs are all emitted. What this leaves open are links between classes
-that three consecutive bands put into a bucket of more than SMALL classes with each other, where no leader of any band's bucket links them.
+bucket leaves when one class is left in it. In the second round all members of a bucket of at most ``SMALL`` members lead. The larger buckets that still hold
+several classes then are cut into blocks of about ``BLOCK`` members, and each two blocks meet in a task of their own: it counts the shingles that each two
+texts of different classes share, aligns those that share enough, and passes over pairs that it has joined through others. Members of a bucket's largest class aren't
+held against each other. So each pair in a bucket is linked, or in one class, or compared, and no table holds a group's pairs; but the time for a group that stays
+in many classes grows with the square of its members.
 
 At a similarity of 0.8 a band's keys are equal with a chance of about 0.5, so that two texts share no bucket with a chance below 1e-6.
 
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 
 from tracelab.llm import _shared as S
 
-K, BANDS, KEPT, SIMILARITY, SALTS, CACHE, SMALL, ROUNDS, DEPTH = 5, 20, 3, 0.8, 8, 400_000, 16, 2, 2
+K, BANDS, KEPT, SIMILARITY, SALTS, CACHE, SMALL, ROUNDS = 5, 20, 3, 0.8, 8, 400_000, 16, 2
+#: Members and shingles of a block, and shingles that a product of two blocks takes at a time.
+BLOCK, VOLUME, WIDE = 512, 4_000_000, 4096
 LAST = 2**63 - 1
 _M = S.multipliers(K + 1, 1)
 _SEEDS = np.random.default_rng(11).integers(0, 2**63, BANDS, dtype=np.uint64)
@@ -167,6 +170,85 @@ def verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     return whole.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
 
 
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many labelled shingles each text of left has in common with each of right."""
+    sides = [(np.repeat(np.arange(len(x)), [len(t) for t in x]), np.concatenate(x)) for x in (left, right)]
+    common = np.intersect1d(sides[0][1], sides[1][1])
+    out = np.zeros((len(left), len(right)), np.float32)
+    places = []
+    for row, own in sides:
+        at = np.searchsorted(common, own)
+        has = at < len(common)
+        has[has] = common[at[has]] == own[has]
+        order = np.argsort(at[has], kind="stable")
+        places.append((row[has][order], at[has][order]))
+    for start in range(0, len(common), WIDE):
+        ones = []
+        for x, (row, at) in zip((left, right), places, strict=True):
+            i, j = np.searchsorted(at, [start, start + WIDE])
+            m = np.zeros((len(x), min(WIDE, len(common) - start)), np.float32)
+            m[row[i:j], at[i:j] - start] = 1
+            ones.append(m)
+        out += ones[0] @ ones[1].T
+    return out.astype(np.int64)
+
+
+def block_links(labels: list[bytes], texts: list[np.ndarray], first: np.ndarray, within: bool, least: float) -> list[tuple[bytes, bytes]]:
+    """Links that join the classes of texts, between those of the first block and the others, or within one block; none that others imply."""
+    one = np.arange(len(texts)) if within else np.flatnonzero(first)
+    two = one if within else np.flatnonzero(~first)
+    if not len(one) or not len(two):
+        return []
+    _, group = np.unique(np.array([x.hex() for x in labels]), return_inverse=True)
+    n = np.array([len(x) for x in texts])
+    n1, n2 = n[one][:, None], n[two][None, :]
+    may = (group[one][:, None] != group[two][None, :]) & (np.minimum(n1, n2) >= least * np.maximum(n1, n2) - 1e-9)
+    if within:
+        may = np.triu(may, 1)
+    if not may.any():
+        return []
+    may &= shared([texts[i] for i in one], [texts[i] for i in two]) >= np.ceil(least / (1 + least) * (n1 + n2) - 1e-9)
+    parent = list(range(int(group.max()) + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(may)), strict=True):
+        i, j = int(one[i]), int(two[j])
+        a, b = root(int(group[i])), root(int(group[j]))
+        if a != b and similarity(texts[i], texts[j], least) >= least:
+            parent[a] = b
+            out.append((labels[i], labels[j]))
+    return out
+
+
+def blockwise(now: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of labels between the members of each bucket. now, a written table: key, node, n, label."""
+    of_label = now.groupBy("key", "label").agg(F.count("*").alias("count"), F.sum("n").alias("volume"))
+    about = of_label.groupBy("key").agg(F.max(F.struct("count", "volume", "label")).alias("main"), F.sum("count").alias("count"), F.sum("volume").alias("volume"))
+    blocks = lambda count, volume: F.greatest(F.ceil(count / BLOCK), F.ceil(volume / VOLUME), F.lit(1)).cast("int")
+    others = blocks(F.col("count") - F.col("main.count"), F.col("volume") - F.col("main.volume"))
+    about = about.select("key", F.col("main.label").alias("main"), others.alias("others"), blocks(F.col("main.count"), F.col("main.volume")).alias("mains"))
+    split = _salted(now, about, ["key"], F.xxhash64("node"))
+    is_main, draw = F.col("label") == F.col("main"), F.xxhash64("node", "key")
+    own = F.when(is_main, F.col("others") + F.pmod(draw, F.col("mains"))).otherwise(F.pmod(draw, F.col("others"))).cast("int")
+    last = F.when(is_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
+    split = split.select("key", "node", "label", own.alias("own"), last.alias("last")).join(sequences, "node")
+    met = split.select("key", "label", "shingles", "own", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label", "shingles")
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        texts = [np.frombuffer(x, "<u4") for x in group.column("shingles").to_pylist()]
+        links = block_links(group.column("label").to_pylist(), texts, group.column("own").to_numpy() == i, i == j, least)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+
+    return met.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """node and label, the smallest node of its component, for the nodes of edges (a, b) whose label isn't their own."""
     edges = S.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "neardup-edges")
@@ -191,43 +273,42 @@ def contracted(edges: DataFrame) -> DataFrame:
 def classes(table: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """node and label for the nodes of a written ``sketches`` table whose class has another node too; label is a node of the class."""
     once = table.where("keys IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    after = lambda i: F.element_at("keys", (F.col("band") + i) % BANDS + 1)
-    spread = once.select("node", "n", "keys", F.posexplode("keys").alias("band", "key"))
-    spread = spread.select("node", "n", "key", F.array(F.xxhash64("key", after(1)), F.xxhash64("key", after(1), after(2))).alias("deeper"))
-    shared = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    members = S.written(_salted(spread, shared, ["key"], F.xxhash64("node")), "neardup-members")
+    spread = once.select("node", "n", F.explode("keys").alias("key"))
+    several = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    members = S.written(_salted(spread, several, ["key"], F.xxhash64("node")), "neardup-members")
     some = members.select("node").distinct()
     sequences = S.written(table.where("keys IS NOT NULL").select("node", "shingles").join(some, "node").dropDuplicates(["node"]), "neardup-shingles")
     labels, tested = None, None
-    for turn in range(ROUNDS * (DEPTH + 1)):
-        if turn and turn % ROUNDS == 0:  # what is left are large buckets
-            members = members.withColumn("key", F.col("deeper")[turn // ROUNDS - 1])
+    for turn in range(ROUNDS + 1):
         now = members if labels is None else members.join(labels, "node", "left")
         now = now.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
         order = F.xxhash64("key", "node")
         about = now.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(order).alias("least")).where("low <> high").select("key", "size", "least")
         leads = order == F.col("least")
         leads = leads | (F.col("size") <= SMALL) if turn else leads
-        active = S.written(_salted(now, about, ["key"], F.xxhash64("node")).select("key", "node", "n", "deeper", "label", leads.alias("leads")), "neardup-active")
+        active = S.written(_salted(now, about, ["key"], F.xxhash64("node")).select("key", "node", "n", "label", leads.alias("leads")), "neardup-active")
         if active.isEmpty():
             break
-        leaders = active.where("leads").select("key", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("label").alias("other"))
-        met = _salted(active.select("key", "node", "n", "label"), leaders, ["key"], F.xxhash64("node"))
-        fits = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9
-        pairs = met.where(fits & (F.col("label") != F.col("other"))).select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
-        pairs = S.written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "neardup-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = verified(pairs, sequences, least)
-        if labels is not None:
-            for c in ("a", "b"):
-                links = links.join(labels.select(F.col("node").alias(c), F.col("label").alias("_l")), c, "left").withColumn(c, F.coalesce("_l", c)).drop("_l")
+        if turn == ROUNDS:  # what is left are large buckets
+            links = blockwise(active, sequences, least)
+        else:
+            leaders = active.where("leads").select("key", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("label").alias("other"))
+            met = _salted(active.select("key", "node", "n", "label"), leaders, ["key"], F.xxhash64("node"))
+            fits = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9
+            pairs = met.where(fits & (F.col("label") != F.col("other"))).select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
+            pairs = S.written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "neardup-pairs")
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            links = verified(pairs, sequences, least)
+            if labels is not None:
+                for c in ("a", "b"):
+                    links = links.join(labels.select(F.col("node").alias(c), F.col("label").alias("_l")), c, "left").withColumn(c, F.coalesce("_l", c)).drop("_l")
         new = contracted(links)
         if labels is None:
             labels = new
         else:
             moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("_l")), "label", "left").select("node", F.coalesce("_l", "label").alias("label"))
             labels = S.written(moved.unionByName(new.join(labels.select("node"), "node", "left_anti")), "neardup-labels")
-        members = active.where("NOT leads").select("key", "node", "n", "deeper")
+        members = active.where("NOT leads").select("key", "node", "n")
     return labels if labels is not None else table.sparkSession.createDataFrame([], "node binary, label binary")
 
 
