@@ -160,6 +160,14 @@ def test_variants_of_one_text_equal_brute_force(spark):
     assert {r.doc_id: r.class_id for r in got} == want
 
 
+def test_large_bucket_of_few_classes_equals_brute_force(spark):
+    rows = variants(3, 400, 220, 3)
+    want = brute_classes(rows)
+    assert len(set(want.values())) == 1
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
 @pytest.mark.parametrize("size", [3, 512])
 def test_blocks_equal_brute_force(spark, monkeypatch, size):
     monkeypatch.setattr(N, "BLOCK", size)

@@ -10,8 +10,8 @@ enough similarity can have. With m matched of n1 and n2 the similarity is m / (n
 
 Classes are the connected components of links. Equal texts are one node from the start. A round compares one leader of each bucket, chosen by hash, with the
 members that are of another class and of fitting length, and contracts the classes that links join. A leader has met all of its bucket and leaves it. A
-bucket leaves when one class is left in it. In the second round all members of a bucket of at most ``SMALL`` members lead. The larger buckets that still hold
-several classes then are cut into blocks of about ``BLOCK`` members, and each two blocks meet in a task of their own: it counts the shingles that each two
+bucket leaves when one class is left in it. In the second round all members of a bucket of at most ``SMALL`` members, whatever their classes, lead. The larger
+buckets that still hold several classes, few or many, then are cut into blocks of about ``BLOCK`` members, and each two blocks meet in a task of their own: it counts the shingles that each two
 texts of different classes share, aligns those that share enough, and passes over pairs that it has joined through others. Members of a bucket's largest class aren't
 held against each other. So each pair in a bucket is linked, or in one class, or compared, and no table holds a group's pairs; but the time for a group that stays
 in many classes grows with the square of its members.
