@@ -1,4 +1,5 @@
 import corpus_pipeline as C
+from test_documents import brute_classes, variants
 from tracelab.llm import _shared as S
 from tracelab.llm import lines, neardup
 
@@ -25,3 +26,10 @@ def test_filters_handle_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in C.dedup_lines(spark, docs, D).collect()) == [1, 3, 4]
     assert sorted(r.doc_id for r in C.dedup_documents(spark, docs, D).collect()) == [1, 3]
+
+
+def test_one_document_of_a_large_family_stays_for_each_class(spark):
+    rows = variants(1, 400, 270, 4)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted(set(brute_classes(rows).values()))
+    assert sorted(r.doc_id for r in C.dedup_documents(spark, docs, D).collect()) == want
