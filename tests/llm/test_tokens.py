@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -23,9 +24,10 @@ def library(name):
 
 def test_ids_equal_the_library():
     ids, want = P.Ids(public_tokenizers.path("word_bpe_49k.json")), library("word_bpe_49k.json")
-    for text, got in zip(NASTY, ids(NASTY), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == want(text), text
-    assert ids([None]) == [b""]
+    flat, ends = ids(pa.array([*NASTY, None]))
+    for i, text in enumerate(NASTY):
+        assert flat[ends[i] : ends[i + 1]].tolist() == want(text), text
+    assert ends[-1] == ends[-2]
 
 
 def test_codec_equals_the_library():
@@ -35,10 +37,37 @@ def test_codec_equals_the_library():
     raw = [w.encode() for w in words]
     data = X.Automaton.build(dict(zip(raw, merge(raw), strict=True)))
     codec = X.Codec(path, X.Automaton(np.frombuffer(data, np.uint8)))
-    for text, got in zip(NASTY, codec.encode(NASTY), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == want(text), text
-        assert codec.decode(got) == text
-    assert codec.encode([None]) == [b""] and codec.decode(b"") == ""
+    for texts in (NASTY, [t for t in NASTY if "<|" not in t]):
+        flat, ends = codec.encode(pa.array([*texts, None]))
+        assert codec.decode(flat, ends).to_pylist() == [*texts, ""]
+        for i, text in enumerate(texts):
+            assert flat[ends[i] : ends[i + 1]].tolist() == want(text), text
+    cut = codec.encode(pa.array(["日"]))[0][:1]
+    assert codec.decode(cut, np.array([0, 1])).to_pylist() == [Tokenizer.from_file(path).decode(cut.tolist(), skip_special_tokens=False)]
+
+
+def test_random_texts_equal_the_library():
+    path, path5 = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+    want, want5 = library("byte_bpe_50k.json"), library("word_bpe_49k.json")
+    codec, ids = X.Codec(path, X.Automaton(np.frombuffer(X.Automaton.build({}), np.uint8))), P.Ids(path5)
+    random.seed(6)
+    some = [" ", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\u3000", "\u0085", "\x1c", "\u1680", "a", "B", "é", "e\u0301", "J\u030c", "Σ", "1", "²", "½", "'s", "'", "!", "«", "’", "日", "가", "😀", "\u0558", "\u208f", "\U00011de3", "<|endoftext|>", "<|", "_", "İ", "K"]
+    texts = ["".join(random.choices(some, k=random.randint(0, 12))) for _ in range(3000)]
+    for at in range(0, len(texts), 500):
+        own = texts[at : at + 500]
+        flat, ends = codec.encode(pa.array(own))
+        flat5, ends5 = ids(pa.array(own))
+        for i, t in enumerate(own):
+            assert flat[ends[i] : ends[i + 1]].tolist() == want(t), repr(t)
+            assert flat5[ends5[i] : ends5[i + 1]].tolist() == want5(t), repr(t)
+        assert codec.decode(flat, ends).to_pylist() == own
+
+
+def test_lexicon_has_the_most_frequent_words(spark):
+    df = spark.createDataFrame([(i, "a b b c c c c " + "d " * 9) for i in range(5)], "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert X.frequent_words(df, path, 2) == [" c", " d"]
+    assert X.frequent_words(df, path, 100) == [" ", " b", " c", " d", "a"]
 
 
 def test_automaton_is_minimal_and_complete():

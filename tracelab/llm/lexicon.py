@@ -4,8 +4,8 @@ The most frequent words of the corpus (parts that the tokenizer's pattern splits
 a minimal acyclic automaton: equal suffixes share states, and each transition carries how many words sort before those that take it, so that
 the sum along a path numbers the word and finds its ids. The automaton is one file of flat arrays. It lies in the folder in spark.checkpoint.dir, goes
 to executors as a Spark file and is memory-mapped there. A batch's different words walk through it side by side, a byte
-a step; words that it lacks are merged exactly from the tokenizer's merges. Texts with characters whose class could differ between
-the pattern engines go to the library whole.
+a step; words that it lacks are merged exactly from the tokenizer's merges. Ids are kept by stretch between white space, over all tasks of a worker. The class of a
+character beyond Latin letters is asked of the library once, so that words end where its Unicode version has them end; no text goes to the library.
 
 Decoding joins the byte strings of the ids and reads them as UTF-8 with replacement of what is malformed.
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +31,10 @@ from pyspark.sql import functions as F
 from tracelab.llm import _shared as S
 from tracelab.llm.merges import Merges, byte_letters
 
-LEXICON, COUNTED = 50_000, 200_000
+LEXICON, COUNTED, CACHE, FINE = 50_000, 400_000, 800_000, 16
 PLAIN = re.compile(r"[ \t\n\r!-~¡§°·¿«»À-ÖØ-öø-ÿ]*")
-PLAIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
-PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-ODD = re.compile("[\x1c-\x1f鿰-\U0010ffff]")
+#: Words of plain characters.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 
 
 class Automaton:
@@ -140,26 +139,46 @@ class Automaton:
         return bytes(self.raw[4 * int(self.ends[number]) : 4 * int(self.ends[number + 1])])
 
 
-def split(text: str | None, special: re.Pattern | None = None) -> list[str] | None:
-    """The words of a text, special strings as they are; None: the library must encode it."""
-    if not text:
-        return []
-    if special and special.search(text):
-        pieces = [split(x) if i % 2 == 0 else [x] for i, x in enumerate(special.split(text))]
-        return None if None in pieces else [p for own in pieces for p in own]
-    if PLAIN.fullmatch(text):
-        return PLAIN_PARTS.findall(text)
-    return None if ODD.search(text) else PARTS.findall(text)
+class Words:
+    """The words of a stretch, as the tokenizer's own pattern splits it."""
+
+    def __init__(self, tokenizer):
+        self.split = tokenizer.pre_tokenizer.pre_tokenize_str
+        self.stand_in = {chr(c): "!" if 28 <= c < 32 else chr(c) for c in range(128)}  # for each character a plain one of its class
+
+    def _class(self, c: str) -> str:
+        """Asked of the library, whose Unicode version says which characters are letters and numbers."""
+        if re.match(f"[{S.SPACE}]", c):
+            return "\n"
+        cuts = [end for _, (_, end) in self.split(f"a{c}1")]
+        return "a" if cuts == [2, 3] else "1" if cuts == [1, 3] else "!"
+
+    def __call__(self, stretch: str) -> list[str]:
+        if PLAIN.fullmatch(stretch):
+            return PARTS.findall(stretch)
+        known = self.stand_in
+        for c in set(stretch).difference(known):
+            known[c] = self._class(c)
+        plain = "".join(map(known.__getitem__, stretch))
+        return [stretch[m.start() : m.end()] for m in PARTS.finditer(plain)]
+
+
+def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.no_truncation()
+    out.no_padding()
+    return out
 
 
 class Codec:
-    def __init__(self, path: str, automaton: Automaton):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    """Ids of stretches are kept, CACHE stretches at most, then afresh."""
 
-        self.tokenizer, self.merge, self.automaton = Tokenizer.from_file(path), Merges(path), automaton
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+    def __init__(self, path: str, automaton: Automaton):
+        tokenizer = _tokenizer(path)
+        self.words, self.merge, self.automaton = Words(tokenizer), Merges(path), automaton
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         byte = {c: b for b, c in enumerate(byte_letters())}
@@ -168,25 +187,48 @@ class Codec:
         self.bytes = [b""] * (max(tokens.values()) + 1)
         for token, i in tokens.items():
             self.bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-        self.special = {k: np.array([i], "<u4").tobytes() for k, i in added.items()}
-        self.pattern = special_pattern(added)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
-        parts = [split(t, self.pattern) for t in texts]
-        words = list(set().union(*(p for p in parts if p)).difference(self.special))
-        raw = [w.encode() for w in words]
-        known = dict(self.special)
-        number = self.automaton.find(raw).tolist()
+        self.special, self.pattern = added, special_pattern(added)
+        self.kept = S.Kept(CACHE, np.uint32)
+        self.sizes = np.array([len(x) for x in self.bytes])
+        self.starts, self.flat = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(self.bytes), np.uint8)
+
+    def _learn(self, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        of = [[w.encode() for w in self.words(s.decode())] for s in stretches]
+        words = list(set().union(*of))
+        number = self.automaton.find(words).tolist()
         ids_of = self.automaton.ids_of
-        known.update((w, ids_of(n)) for w, n in zip(words, number, strict=True) if n >= 0)
-        rest = [i for i, n in enumerate(number) if n < 0]
-        known.update(zip([words[i] for i in rest], self.merge([raw[i] for i in rest]), strict=True))
-        get = known.__getitem__
-        return [b"".join(map(get, p)) if p is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for p, t in zip(parts, texts, strict=True)]
-
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        ids = {w: ids_of(n) for w, n in zip(words, number, strict=True) if n >= 0}
+        rest = [w for w in words if w not in ids]
+        ids.update(zip(rest, self.merge(rest), strict=True))
+        found = [b"".join([ids[w] for w in own]) for own in of]
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        different, which, before = S.stretched(texts, S.after_spaces)
+        return self.kept.rows(self.kept.numbers(different, self._learn)[which], before)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text's begin and the last one's end."""
+        odd = [i for i in range(len(texts)) if texts[i].is_valid and self.pattern.search(texts[i].as_py())] if self.pattern and any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.special) else []
+        if not odd:
+            return self._encode(texts)
+        parts, place = [], [0]  # special strings are rows of their own
+        for i in range(len(texts)):
+            parts += self.pattern.split(texts[i].as_py()) if i in set(odd) else [texts[i].as_py()]
+            place.append(len(parts))
+        flat, ends = self._encode(pa.array(["" if p in self.special else p for p in parts], pa.string()))
+        own = [np.array([self.special[p]], np.uint32) if p in self.special else flat[ends[k] : ends[k + 1]] for k, p in enumerate(parts)]
+        return np.concatenate([*own, np.empty(0, np.uint32)]), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)[place]
+
+    def decode(self, flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The text of each row of ids."""
+        n = self.sizes[flat]
+        data = self.flat[S.spread(self.starts[flat], n)]
+        rows = S.rows_of(data, np.concatenate([[0], np.cumsum(n)])[ends])
+        try:
+            return rows.cast(pa.string())
+        except pa.ArrowInvalid:  # an id sequence that ends within a character
+            return pa.array([x.decode("utf-8", "replace") for x in rows.to_pylist()], pa.string())
 
 
 def special_pattern(strings) -> re.Pattern | None:
@@ -194,23 +236,41 @@ def special_pattern(strings) -> re.Pattern | None:
 
 
 def frequent_words(docs: DataFrame, path: str, size: int = LEXICON) -> list[str]:
-    """The most frequent words over all texts; ties to the word that sorts first."""
-    with open(path, encoding="utf-8") as f:
-        special = special_pattern([t["content"] for t in json.load(f)["added_tokens"]])
-
+    """The most frequent words over all texts (special strings count as their parts), at most ``size``. Counts are ranked by FINE steps for each doubling, and words of the first step that doesn't
+    fit whole are left to merging, so that the driver gets no more words than it keeps."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        flush = lambda: pa.RecordBatch.from_pydict({"word": pa.array([w.encode() for w in counts], pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
+        counts: Counter[bytes] = Counter()
+        words = S.held(("words", path), lambda: Words(_tokenizer(path)))
+
+        def flush() -> pa.RecordBatch:
+            of: Counter[str] = Counter()
+            for stretch, n in counts.items():
+                for w in words(stretch.decode()):
+                    of[w] += n
+            return pa.RecordBatch.from_pydict({"word": pa.array([w.encode() for w in of], pa.binary()), "n": pa.array(list(of.values()), pa.int64())})
+
         for b in batches:
-            for t in b.column(0).to_pylist():
-                counts.update(split(t, special) or ())
-            if len(counts) > COUNTED:
-                yield flush()
-                counts.clear()
+            for part in S.slices(b, 0):
+                different, which, _ = S.stretched(part.column(0), S.after_spaces)
+                for stretch, n in zip(different, np.bincount(which, minlength=len(different)).tolist(), strict=True):
+                    counts[stretch] += n
+                if len(counts) > COUNTED:
+                    yield flush()
+                    counts.clear()
         yield flush()
 
     counted = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]).decode() for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counted = S.written(counted.withColumn("step", F.floor(F.log2("n") * FINE).cast("int")), "lexicon-counts")
+    steps = {r["step"]: r["count"] for r in counted.groupBy("step").count().collect()}  # at most 64 * FINE rows
+    total, least = 0, None
+    for step in sorted(steps, reverse=True):
+        total += steps[step]
+        if total > size:
+            break
+        least = step
+    if least is None:
+        return []
+    return sorted(bytes(r["word"]).decode() for r in counted.where(F.col("step") >= least).select("word").collect())
 
 
 def compiled(spark: SparkSession, words: list[str], path: str) -> str:
@@ -237,12 +297,11 @@ def recode(docs: DataFrame, path: str | None = None, lexicon: int = LEXICON) ->
     name = compiled(spark, frequent_words(docs, path, lexicon), path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, Automaton(np.memmap(SparkFiles.get(name), np.uint8, "r")))
+        codec = S.held(("codec", name), lambda: Codec(path, Automaton(np.memmap(SparkFiles.get(name), np.uint8, "r"))))
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                ids = codec.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([codec.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+            for part in S.slices(b, 1):
+                ids, ends = codec.encode(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), S.rows_of(ids.astype("<u4"), ends), codec.decode(ids, ends)], names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, decoded string")
 
