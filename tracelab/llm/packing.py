@@ -10,9 +10,8 @@ is packed by best fit, from the largest length on, all copies of a length at onc
 Pieces get ranks within their length: a rank within the task that made them, plus the counts of earlier tasks, from a window over task counts.
 No task sees all pieces of a length, however common. A plan's segment says which ranks of a length stand where.
 
-Tokens: white space always ends a token of this vocabulary. Texts of plain characters are lower-cased and split here, and their different
-parts merged many at once; parts with ids are kept (``CACHE`` at most, then afresh). Other runs between white space go to the library. Texts with the
-control characters U+001C to U+001F, which Python alone takes for white space, go to the library whole.
+Tokens: white space always ends a token of this vocabulary, so ids are kept by what stands between white space (about ``CACHE`` stretches, then afresh), over all tasks
+of a worker. Of stretches that aren't known yet, those of plain characters are lower-cased and split here, and their different parts merged many at once; others go to the library.
 
 Edge cases: null and empty texts give a document of one id, the end mark. Repeated rows are packed each. An empty table
 gives an empty result. Extra columns are left out, whatever their names.
@@ -36,69 +35,59 @@ from pyspark.sql import functions as F
 from tracelab.llm import _shared as S
 from tracelab.llm.merges import Merges
 
-CAPACITY, END_ID, CACHE = 4096, 1, 400_000
+CAPACITY, END_ID, CACHE = 4096, 1, 800_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 #: What is split, lower-cased and merged here; the library gets the rest.
-PLAIN = re.compile(r"[ \t\n\r!-~¡§°·¿«»À-ÖØ-öø-ÿ]*")
+PLAIN = re.compile(r"[ \t-\r!-~¡§°·¿«»À-ÖØ-öø-ÿ]*")
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
 class Ids:
-    """Ids of whole texts as little-endian unsigned 32-bit integers."""
+    """Ids of whole texts."""
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.merge, self.most = Tokenizer.from_file(path), Merges(path), cache
+        self.tokenizer, self.merge, self.kept = Tokenizer.from_file(path), Merges(path), S.Kept(cache, np.uint32)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}  # by part, or by U+0000 and what the library gets
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _parts(text: str | None) -> list[str]:
-        if not text:
-            return []
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            return PARTS.findall(text.lower())
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return ["\0" + text]
-        return [p for run in text.split() for p in (PARTS.findall(run.lower()) if PLAIN.fullmatch(run) and "<|" not in run else ["\0" + run])]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, parts = self.known, [self._parts(t) for t in texts]
-        new = set().union(*parts).difference(known)
-        plain, other = [p for p in new if p[0] != "\0"], [p for p in new if p[0] == "\0"]
-        known.update(zip(plain, self.merge([p.encode() for p in plain]), strict=True))
-        known.update(zip(other, self._library([p[1:] for p in other]), strict=True))
-        get = known.__getitem__
-        return [b"".join(map(get, own)) for own in parts]
+
+    def _learn(self, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [s.decode() for s in stretches]
+        parts = [PARTS.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
+        new = list(set().union(*(p for p in parts if p)))
+        ids = dict(zip(new, self.merge([p.encode() for p in new]), strict=True))
+        other = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, parts, strict=True) if p is None], add_special_tokens=False))
+        found = [np.array(next(other).ids, "<u4").tobytes() if own is None else b"".join([ids[p] for p in own]) for own in parts]
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text's begin and the last one's end."""
+        different, which, before = S.stretched(texts, S.at_blanks)
+        return self.kept.rows(self.kept.numbers(different, self._learn)[which], before)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Rows of PIECE with task and rank: the rank of a piece among those of its length in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, task = Ids(path), TaskContext.get().partitionId()
+        ids, task = S.held(("packing", path), lambda: Ids(path)), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
+            for part in S.slices(b, 1):
                 rows = []
-                for doc, own in zip(part.column(0).to_pylist(), ids(part.column(1).to_pylist()), strict=True):
-                    own += end
-                    for k, i in enumerate(range(0, len(own) // 4, capacity)):
-                        cut = own[4 * i : 4 * (i + capacity)]
-                        n = len(cut) // 4
-                        rows.append((doc, k, i, n, zlib.crc32(cut), task, int(seen[n])))
+                flat, ends = ids(part.column(1))
+                raw = memoryview(flat.astype("<u4").tobytes())
+                for doc, first, stop in zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    for k, i in enumerate(range(0, stop - first + 1, capacity)):
+                        n = min(capacity, stop - first + 1 - i)
+                        last = i + n > stop - first
+                        crc = zlib.crc32(raw[4 * (first + i) : 4 * (first + i + n - last)])
+                        rows.append((doc, k, i, n, zlib.crc32(end, crc) if last else crc, task, int(seen[n])))
                         seen[n] += 1
                 columns = zip(*rows, strict=True)
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
@@ -227,7 +216,8 @@ def packed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shipped = rows.sparkSession.sparkContext.broadcast((table, keys))  # by the histogram's size, not by the rows
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = tasks.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = rows.join(base, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
+    # Tasks times lengths are too many to broadcast.
+    ranked = rows.join(base.hint("merge"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, keys = shipped.value
