@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tracelab.llm import _shared as S
 from tracelab.llm import language as L
@@ -12,48 +13,74 @@ from tracelab.llm import toxicity as X
 D = "/root/testdata/sf0.01"
 
 
-def test_kneser_ney_sums_to_one_and_prefers_its_own_words():
-    words = Counter({"banana": 5, "bandana": 2, "cab": 1, "ananas": 3})
-    m = L.fit_model(words)
-    # All continuations of a context, over the alphabet and one unknown letter, have probability 1.
-    letters = "abcdns "
-    for context in ("", "b", "ban", "anan", "zz"):
-        total = 0.0
-        for c in [*letters, "~"]:
-            word = context + (c if c != " " else "")
-            if not word:
-                continue  # an empty word isn't predicted
-            p = L.word_scores([m], [word])[0, 0]
-            before = sum(step(m, word, i) for i in range(len(context)))
-            end = step(m, word, len(word))
-            total += math.exp(step(m, word, len(context)) if c != " " else end)
-            assert abs(p - (before + sum(step(m, word, i) for i in range(len(context), len(word) + 1)))) < 1e-5
-        if context:
-            assert abs(total - 1) < 1e-4, (context, total)
-    other = L.fit_model(Counter({"quick": 3, "fox": 2, "jumps": 1}))
-    assert L.word_scores([m, other], ["banana"])[0].argmax() == 0 and L.word_scores([m, other], ["quick"])[0].argmax() == 1
-
-
-def step(m, word, i):
-    """Log-probability of the character i of a word (its end: len(word)), by plain recursion over the tables."""
-    text = " " + word + " "
-    grams = dict(zip(m["gram"].tolist(), m["logp"].tolist(), strict=True))
-    contexts = dict(zip(m["ctx"].tolist(), m["weight"].tolist(), strict=True))
-
-    def h(s):
-        x = np.full(1, len(s), np.uint64)
-        for j, c in enumerate(reversed(s)):
-            x += np.uint64(ord(c) + 1) * L._M[j]
-        return int(S.mix(x)[0])
-
-    def p(s):
-        if h(s) in grams:
-            return grams[h(s)]
-        if len(s) == 1:
-            return m["unknown"]
-        return contexts.get(h(s[:-1]), 0.0) + p(s[1:])
-
-    return p(text[max(0, i + 2 - L.ORDER) : i + 2])
+class Plain:
+    """Interpolated Kneser-Ney from raw counts, by dictionaries and recursion."""
+
+    def __init__(self, words):
+        self.count = [Counter() for _ in range(L.ORDER + 1)]
+        longer = [set() for _ in range(L.ORDER + 1)]
+        for w, times in words.items():
+            text = f" {w} "
+            for i in range(1, len(text)):
+                for n in range(1, min(i + 1, L.ORDER) + 1):
+                    gram = text[i + 1 - n : i + 1]
+                    if n in (i + 1, L.ORDER):
+                        self.count[n][gram] += times
+                    else:
+                        longer[n].add(text[i - n : i + 1])
+        for n, own in enumerate(longer):
+            self.count[n].update(g[1:] for g in own)
+        self.chars = len(set("".join(words)) | {" "}) + 1
+        self.discount = [0.5] * (L.ORDER + 1)
+        for n, own in enumerate(self.count):
+            ones, twos = (sum(c == k for c in own.values()) for k in (1, 2))
+            if ones and twos:
+                self.discount[n] = ones / (ones + 2 * twos)
+
+    def p(self, gram):
+        n = len(gram)
+        lower = self.p(gram[1:]) if n > 1 else 1 / self.chars
+        after = {g: c for g, c in self.count[n].items() if g[:-1] == gram[:-1]}
+        if not after:
+            return lower
+        total = sum(after.values())
+        return max(after.get(gram, 0) - self.discount[n], 0) / total + self.discount[n] * len(after) / total * lower
+
+    def word(self, w):
+        text = f" {w} "
+        return sum(math.log(self.p(text[max(0, i + 1 - L.ORDER) : i + 1])) for i in range(1, len(text)))
+
+
+def test_kneser_ney_equals_plain_counts():
+    kinds = [Counter({"banana": 5, "bandana": 2, "cab": 1, "ananas": 3, "a": 7}), Counter({"quick": 3, "fox": 2, "jumps": 1, "banal": 2}), Counter({"x": 1})]
+    plain = [Plain(c) for c in kinds]
+    words = ["banana", "bandit", "cab", "quick", "banal", "zzz", "a", "x", "bananabananas", "ébana"]
+    want = np.array([[p.word(w) for p in plain] for w in words])
+    for together in (1, 2, 4):
+        models = [L.fit_model(c) for c in kinds]
+        merged = [L.merged(models[i : i + together]) for i in range(0, 3, together)]
+        assert np.allclose(L.word_scores(merged, words), want, atol=1e-4)
+    for p in plain:  # all continuations of a context, over the alphabet and one unknown letter
+        for context in (" ", "ban", "anan", "zz"):
+            assert abs(sum(p.p(context + c) for c in [*set("".join(p.count[1])), "~"]) - 1) < 1e-9
+
+
+def test_language_limits_follow_length(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    model = L.fit(L.learnable(docs))
+    limits = model["limits"]
+    assert (np.diff(limits, axis=1) < 0.35).all() and (limits[:, -1] < limits[:, 1]).all()
+    held = docs.where(S.remainder(docs.doc_id, 4) == 2)
+    kept = [r.accepted for r in L.identify(held.where("text IS NOT NULL"), model).collect()]
+    assert np.mean(kept) >= 0.995
+    random.seed(3)
+    foreign = "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita suomen kieli on kaunis ja vanha kansan puhuma metsä".split()
+    noise = ["".join(random.choices("bcdfghjklmnpqrstvwxz", k=random.randint(3, 9))) for _ in range(60)]
+    for words, least in ((foreign, 60), (noise, 30)):
+        rows = [(n * 100 + k, " ".join(random.choices(words, k=n // 6))) for n in (least, 240, 1000) for k in range(20)]
+        got = L.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+        rejected = {n: 1 - np.mean([r.accepted for r in got if r.doc_id // 100 == n]) for n in (least, 240, 1000)}
+        assert rejected[1000] == 1 and rejected[240] >= 0.95, rejected
 
 
 def test_language_of_held_out_documents(spark):
@@ -67,7 +94,7 @@ def test_language_of_held_out_documents(spark):
 
 
 def test_language_edge_cases(spark):
-    docs = spark.createDataFrame([(i, t * 20, lang) for i in range(40) for lang, t in (("aa", "the cat sat "), ("bb", "der hund lief "))], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(i, t * 20 + str(i), lang) for i in range(40) for lang, t in (("aa", "the cat sat "), ("bb", "der hund lief "))], "doc_id long, text string, lang string")
     model = L.fit(docs)
     odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "12 !!", "x"), (4, "the cat " * 3000, "x"), (4, "the cat " * 3000, "x"), (None, "der hund", None)], "doc_id long, text string, score2 string")
     got = [(r.lang_pred, r.accepted) for r in L.identify(odd, model).collect()]
@@ -75,6 +102,8 @@ def test_language_edge_cases(spark):
     assert L.identify(odd.limit(0), model).count() == 0
     none = L.fit(docs.where("false"))
     assert {r.lang_pred for r in L.identify(odd, none).collect()} == {"und"}
+    clashing = L.identify(odd.withColumnsRenamed({"score2": "Score"}).withColumn("accepted", F.lit("y")), model)
+    assert clashing.columns == ["doc_id", "text", "lang_pred", "score", "accepted"] and clashing.where("accepted").count() == 3
     strange = L.identify(spark.createDataFrame([(1, "qxz vkj " * 50)], "doc_id long, text string"), model).first()
     assert not strange.accepted
 
