@@ -1,8 +1,10 @@
 import hashlib
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracelab.llm import fingerprint as P
@@ -96,12 +98,43 @@ def test_windows_cover_a_run():
     assert X.windows([30, 30, 5], 50) == [(0, 2), (0, 3)]
 
 
-def brute_classes(rows, least=0.8):
-    hasher, texts = N.Hasher(), defaultdict(list)
+def plain_words(text):
+    return (text or "").lower().split()
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def plain_similarity(a, b):
+    if not a or not b:
+        return float(a == b)
+    m = longest_common(a, b)
+    return m / (len(a) + len(b) - m)
+
+
+def as_numbers(words):
+    return np.array([zlib.crc32(w.encode()) for w in words], np.uint32)
+
+
+def brute_classes(rows, least=0.8, similar=None):
+    """Components of all pairs of texts that share a band's key and are similar."""
+    similar = similar or (lambda a, b: N.similarity(as_numbers(a), as_numbers(b), least))
+    texts = defaultdict(list)
     for d, t in rows:
-        texts[" ".join((t or "").lower().split())].append(d)
-    kinds = list(texts)
-    sets = [N.shingles(hasher(k.split())) for k in kinds]
+        texts[" ".join(plain_words(t))].append(d)
+    kinds = [k.split() for k in texts]
+    flat, ends = N.Sketcher().words(pa.array(list(texts)))
+    buckets = defaultdict(list)
+    for i in range(len(kinds)):
+        if kinds[i]:
+            for k in set(N.keys(N.shingles(flat[ends[i] : ends[i + 1]])).tolist()):
+                buckets[k].append(i)
     parent = list(range(len(kinds)))
 
     def root(x):
@@ -109,34 +142,63 @@ def brute_classes(rows, least=0.8):
             x = parent[x]
         return x
 
-    for i in range(len(kinds)):
-        for j in range(i):
-            if len(sets[i]) and len(sets[j]) and N.similarity(sets[j], sets[i], least) >= least:
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
+    for i, j in sorted({(i, j) for own in buckets.values() for i in own for j in own if i > j}):
+        a, b = root(i), root(j)
+        if a != b and similar(kinds[j], kinds[i]) >= least:
+            parent[max(a, b)] = min(a, b)
     members = defaultdict(list)
-    for i, k in enumerate(kinds):
+    for i, k in enumerate(texts):
         members[root(i)] += texts[k]
     return {d: min(m) for m in members.values() for d in m}
 
 
-def test_near_duplicates_equal_brute_force(spark):
-    random.seed(9)
-    words = [f"w{i}" for i in range(400)]
-    rows, at = [], 0
-    for _ in range(25):
-        base = [random.choice(words) for _ in range(random.randint(3, 150))]
-        for _ in range(random.choice([1, 1, 2, 5, 12])):
-            own = list(base)
-            for _ in range(random.choice([0, 0, 1, 2, 4])):
-                own[random.randrange(len(own))] = random.choice(words)
-            rows.append((at, " ".join(own)))
-            at += 1
-    rows += [(at + i, rows[i][1].upper()) for i in range(20)] + [(at + 30, ""), (at + 31, None), (at + 32, " ")]
-    got = N.near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, node int")).collect()
-    assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
-    sizes = Counter(r.class_id for r in got)
-    assert all(r.copies == sizes[r.class_id] and r.kept == (r.doc_id == r.class_id) for r in got)
+def test_alignment_equals_plain_longest_common_subsequence():
+    random.seed(2)
+    for _ in range(400):
+        a = [random.randrange(random.choice([3, 30])) for _ in range(random.randint(1, 60))]
+        b = list(a)
+        for _ in range(random.randint(0, 12)):
+            at = random.randrange(len(b) + 1)
+            b[at : at + random.randint(0, 2)] = [random.randrange(30) for _ in range(random.randint(0, 2))]
+        if not b:
+            continue
+        want, x, y = plain_similarity(a, b), np.array(a, np.uint32), np.array(b, np.uint32)
+        for least in (0.5, 0.8, 0.95):
+            assert N.similarity(x, y, least) == (pytest.approx(want) if want >= least else 0.0)
+    long = [random.randrange(500) for _ in range(3000)]
+    other = [x if random.random() > 0.04 else 501 for x in long[:1500] + long[1510:]] + [502] * 5
+    assert N.similarity(np.array(long, np.uint32), np.array(other, np.uint32)) == pytest.approx(plain_similarity(long, other))
+
+
+def test_recall_of_planted_near_copies(spark):
+    """Copies with 5 to 9 of 100 words changed, dropped or added, each of a text of its own; and all pairs of the test table with an edit ratio of 0.9 or more."""
+    random.seed(8)
+    rows, near = [], []
+    for k in range(300):
+        base = [f"w{random.randrange(3000)}" for _ in range(random.randint(40, 400))]
+        own = list(base)
+        for _ in range(max(1, round(random.uniform(0.05, 0.09) * len(base)))):
+            at = random.randrange(len(own))
+            own[at : at + 1] = random.choice([[f"v{random.randrange(10**6)}"]] * 4 + [[], [own[at], f"v{random.randrange(10**6)}"]])
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(own))]
+        near.append((2 * k, 2 * k + 1))
+    label = {r.doc_id: r.class_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.mean([label[a] == label[b] for a, b in near]) >= 0.97
+    assert all(label[i] // 2 == i // 2 for i in label)
+
+    docs = {r.doc_id: plain_words(r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    label = {r.doc_id: r.class_id for r in N.op1_neardup(spark, "/root/testdata/sf0.01").collect()}
+    some = sorted((i for i, w in docs.items() if w), key=lambda i: len(docs[i]))
+    bags, found, missed = {i: Counter(docs[i]) for i in some}, 0, []
+    for x, i in enumerate(some):
+        for j in some[x + 1 :]:
+            n1, n2 = len(docs[i]), len(docs[j])
+            if n1 < 0.8 * n2:
+                break
+            if docs[i] != docs[j] and 2 * sum((bags[i] & bags[j]).values()) >= 0.9 * (n1 + n2) and 2 * longest_common(docs[i], docs[j]) >= 0.9 * (n1 + n2):
+                found += label[i] == label[j]
+                missed += [(i, j)] * (label[i] != label[j])
+    assert found >= 40 and found >= 0.9 * (found + len(missed)), (found, missed)
 
 
 def variants(seed, many, words, changes):
@@ -153,7 +215,7 @@ def variants(seed, many, words, changes):
 
 
 def test_variants_of_one_text_equal_brute_force(spark):
-    rows = variants(1, 400, 270, 4)
+    rows = variants(1, 400, 100, 8)
     want = brute_classes(rows)
     assert 17 < len(set(want.values())) < 400
     got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -161,7 +223,7 @@ def test_variants_of_one_text_equal_brute_force(spark):
 
 
 def test_large_bucket_of_few_classes_equals_brute_force(spark):
-    rows = variants(3, 400, 220, 3)
+    rows = variants(3, 400, 100, 6)
     want = brute_classes(rows)
     assert len(set(want.values())) == 1
     got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -172,11 +234,10 @@ def test_large_bucket_of_few_classes_equals_brute_force(spark):
 def test_blocks_equal_brute_force(spark, monkeypatch, size):
     monkeypatch.setattr(N, "BLOCK", size)
     monkeypatch.setattr(N, "WIDE", 50)
-    rows = variants(5, 40, 100, 2)
-    hasher = N.Hasher()
-    texts = [N.shingles(hasher(t.split())) for _, t in rows]
+    rows = variants(5, 40, 50, 3)
+    texts = [as_numbers(t.split()) for _, t in rows]
     now = [("k", bytes([i]), len(x), bytes([i // 2 if i < 20 else 0])) for i, x in enumerate(texts)]
-    sequences = spark.createDataFrame([(bytes([i]), x.astype("<u4").tobytes()) for i, x in enumerate(texts)], "node binary, shingles binary")
+    sequences = spark.createDataFrame([(bytes([i]), x.astype("<u4").tobytes()) for i, x in enumerate(texts)], "node binary, words binary")
     links = N.blockwise(spark.createDataFrame(now, "key string, node binary, n int, label binary"), sequences, 0.8).collect()
     near = {tuple(sorted((now[i][3], now[j][3]))) for i in range(40) for j in range(i) if now[i][3] != now[j][3] and N.similarity(texts[j], texts[i]) >= 0.8}
 
@@ -195,14 +256,19 @@ def test_near_edge_cases(spark):
     text = " ".join(f"a{i}" for i in range(80))
     rows = [(None, text), (4, text), (4, text), (6, text + " end"), (7, "solo")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = N.one_of_each(df).collect()
-    assert sorted(r.doc_id for r in kept) == [4, 7]
+    found = N.near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.class_id, r.copies, r.kept) for r in found)[:1] == [(0, 4, 4, False)] and sum(r.kept for r in found) == 2
+    assert sorted(r.doc_id for r in N.one_of_each(df).collect()) == [4, 7]
+    odd = df.selectExpr("doc_id", "text", "'y' AS _n", "'z' AS _ID", "1 AS kept", "2 AS label", "3 AS key", "4 AS _raw", "5 AS row")
+    kept = N.one_of_each(odd).collect()
+    assert sorted(r.doc_id for r in kept) == [4, 7] and kept[0][2:] == ("y", "z", 1, 2, 3, 4, 5)
     assert N.near_duplicates(df.where("false")).count() == 0
 
 
 def test_order_matters_to_similarity_and_keys():
-    words = N.Hasher()([f"w{i}" for i in range(200)])
+    words = N.Sketcher().words(pa.array([" ".join(f"w{i}" for i in range(200))]))[0]
     turned = np.concatenate([words[100:], words[:100]])
-    a, b = N.shingles(words), N.shingles(turned)
-    assert N.similarity(a, a) == 1.0 and N.similarity(a, b) == 0.0
-    assert len(set(N.shingles(N.Hasher()(["x"] * 30)).tolist())) == 26  # labelled
+    assert N.similarity(words, words) == 1.0 and N.similarity(words, turned) == 0.0
+    own = N.shingles(words)
+    assert not set(N.keys(own).tolist()) & set(N.keys(own[::-1]).tolist())
+    assert len(set(N.shingles(np.full(30, 7, np.uint64)).tolist())) == 26  # labelled

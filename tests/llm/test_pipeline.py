@@ -29,7 +29,7 @@ def test_filters_handle_odd_rows(spark):
 
 
 def test_one_document_of_a_large_family_stays_for_each_class(spark):
-    rows = variants(1, 400, 270, 4)
+    rows = variants(1, 400, 100, 8)
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     want = sorted(set(brute_classes(rows).values()))
     assert sorted(r.doc_id for r in C.dedup_documents(spark, docs, D).collect()) == want

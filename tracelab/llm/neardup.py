@@ -1,153 +1,200 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
-A text is its lower-cased words between white space; its shingles are runs of ``K`` words (fewer words are one shingle), each labelled with how often it
+A text is its lower-cased words between white space. Sketch: its shingles are runs of ``K`` words (fewer words are one shingle), each labelled with how often it
 stood before, so that labelled shingles are unique in a text. For each of ``BANDS`` hash functions the ``KEPT`` shingles with the smallest hashes, in the order in which they
 stand in the text, are the band's key: reordered text changes it, as it changes the edit similarity. Texts that share the
 key of a band are in one of its buckets.
 
-Verification aligns two texts' shingles: the longest common subsequence of their labelled shingles within the band of offsets that an alignment of
-enough similarity can have. With m matched of n1 and n2 the similarity is m / (n1 + n2 - m), at least ``SIMILARITY`` for a link. It never is above that of the sets.
+Verification aligns two texts word by word: their longest common subsequence within the band of offsets that an alignment of
+enough similarity can have. With m words matched of n1 and n2 the similarity is m / (n1 + n2 - m), at least ``SIMILARITY`` for a link. It never is above that of the
+multisets of words, by which most pairs are ruled out before they are aligned.
 
 Classes are the connected components of links. Equal texts are one node from the start. A round compares one leader of each bucket, chosen by hash, with the
 members that are of another class and of fitting length, and contracts the classes that links join. A leader has met all of its bucket and leaves it. A
 bucket leaves when one class is left in it. In the second round all members of a bucket of at most ``SMALL`` members, whatever their classes, lead. The larger
-buckets that still hold several classes, few or many, then are cut into blocks of about ``BLOCK`` members, and each two blocks meet in a task of their own: it counts the shingles that each two
+buckets that still hold several classes, few or many, then are cut into blocks of about ``BLOCK`` members, and each two blocks meet in a task of their own: it counts the words that each two
 texts of different classes share, aligns those that share enough, and passes over pairs that it has joined through others. Members of a bucket's largest class aren't
 held against each other. So each pair in a bucket is linked, or in one class, or compared, and no table holds a group's pairs; but the time for a group that stays
 in many classes grows with the square of its members.
 
-At a similarity of 0.8 a band's keys are equal with a chance of about 0.5, so that two texts share no bucket with a chance below 1e-6.
+Recall: words that are changed one by one break K shingles each. Two texts of words similar to 0.8 then share about 0.42 of their shingles, a band's key with a chance of
+0.42 ** KEPT, and no bucket with one of 2 in 100; at 0.85 it is 1 in 1000. Copies of one text are mostly joined through each other besides.
 
 Edge cases: a null text is an empty one; empty texts are copies of each other. Repeated rows are copies. The document that stands for a class has the smallest id, then
-the smallest digest; a null id comes after all others. An empty table gives an empty result. Extra columns are left out, whatever their names.
+the smallest digest, and of repeated rows one is chosen; a null id comes after all others. An empty table gives an empty result. Extra columns are left out by ``near_duplicates`` and pass through ``one_of_each``
+untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelab.llm import _shared as S
 
-K, BANDS, KEPT, SIMILARITY, SALTS, CACHE, SMALL, ROUNDS = 5, 20, 3, 0.8, 8, 400_000, 16, 2
-#: Members and shingles of a block, and shingles that a product of two blocks takes at a time.
+K, BANDS, KEPT, SIMILARITY, SALTS, CACHE, SMALL, ROUNDS = 5, 20, 2, 0.8, 8, 500_000, 16, 2
+#: Members of a bucket that one copy of its leader's text serves.
+FAN = 1000
+#: Members and words of a block, and words that a product of two blocks takes at a time.
 BLOCK, VOLUME, WIDE = 512, 4_000_000, 4096
 LAST = 2**63 - 1
 _M = S.multipliers(K + 1, 1)
-_SEEDS = np.random.default_rng(11).integers(0, 2**63, BANDS, dtype=np.uint64)
+_TURNS = S.multipliers(BANDS, 11)
 
 
-class Hasher:
-    """64-bit hashes of words; CACHE words at most are kept."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w.encode())
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def shingles(words: np.ndarray) -> np.ndarray:
-    """32-bit hashes of the labelled shingles of a text's word hashes, in order."""
-    n = max(1, len(words) - K + 1) if len(words) else 0
-    h = np.zeros(n, np.uint64)
-    for j in range(min(K, len(words))):
-        h += words[j : j + n] * _M[j]
+def labelled(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes of a text's items and of how often each stood before."""
+    n = len(h)
     order = np.argsort(h, kind="stable")
     run = h[order]
     new = np.append(True, run[1:] != run[:-1]) if n else np.empty(0, bool)
+    h = h.copy()
     if not new.all():
         start = np.flatnonzero(new)
         label = np.empty(n, np.uint64)
         label[order] = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
         h += label * _M[K]
-    return (S.mix(h) >> np.uint64(32)).astype(np.uint32)
+    return S.mix(h)
+
+
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of the labelled shingles of a text's word hashes, in order."""
+    n = max(1, len(words) - K + 1) if len(words) else 0
+    h = np.zeros(n, np.uint64)
+    for j in range(min(K, len(words))):
+        h += words[j : j + n] * _M[j]
+    return labelled(h)
 
 
-def keys(labelled: np.ndarray) -> np.ndarray:
-    """A key for each band."""
-    n = len(labelled)
+def keys(of: np.ndarray) -> np.ndarray:
+    """A key for each band, from labelled shingles."""
+    n = len(of)
     kept = min(KEPT, n)
-    wide = labelled.astype(np.uint64)
     out = np.empty(BANDS, np.uint64)
     step = max(1, 1_000_000 // max(1, n))
     for at in range(0, BANDS, step):
-        seeds = _SEEDS[at : at + step, None]
-        h = S.mix(wide[None, :] * np.uint64(0x9E3779B97F4A7C15) ^ seeds)
-        place = np.argpartition(h, kept - 1, axis=1)[:, :kept] if kept < n else np.tile(np.arange(n), (len(seeds), 1))
-        own = wide[np.sort(place, axis=1)]
-        key = seeds.ravel().copy()
-        for j in range(kept):
-            key = S.mix(key * _M[0] + own[:, j])
+        turns = _TURNS[at : at + step]
+        h = of[None, :] * turns[:, None]
+        row = np.arange(len(turns))
+        places = []
+        for _ in range(kept):
+            places.append(h.argmin(axis=1))
+            h[row, places[-1]] = np.uint64(2**64 - 1)
+        key = turns.copy()
+        for own in of[np.sort(np.array(places), axis=0)]:
+            key = S.mix(key * _M[0] + own)
         out[at : at + step] = key
     return out
 
 
+def matched(a: np.ndarray, b: np.ndarray, enough: int) -> int:
+    """Length of the longest common subsequence of two texts' words, a and b small integers, if it is at least ``enough``; else something less.
+
+    A bit for each word of a, cleared once it ends a longer subsequence, all at once for each word of b; only the words of a within the band are looked at."""
+    n = min(len(a), len(b))
+    same = a[:n] == b[:n]
+    head = n if same.all() else int(same.argmin())
+    a, b = a[head:], b[head:]
+    n = min(len(a), len(b))
+    same = a[len(a) - n :][::-1] == b[len(b) - n :][::-1]
+    tail = n if same.all() else int(same.argmin())
+    a, b = a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist()
+    out, need = head + tail, enough - head - tail
+    if not a or not b:
+        return out
+    band = len(a) + len(b) - 2 * need
+    if band < 0:
+        return out
+    rows = max(128, band)
+    low, high, open_ = 0, 0, 0  # columns of the window, and its bits
+    for at in range(0, len(b), rows):
+        first, stop = max(0, at - band), min(len(a), at + rows + band)
+        first = min(first, high)
+        gone = first - low
+        out += gone - (open_ & ((1 << gone) - 1)).bit_count()
+        open_ = (open_ >> gone) | (((1 << (stop - high)) - 1) << (high - first))
+        low, high = first, max(high, stop)
+        full = (1 << (high - low)) - 1
+        where: dict[int, int] = {}
+        bit = 1
+        for x in a[low:high]:
+            where[x] = where.get(x, 0) | bit
+            bit <<= 1
+        for y in b[at : at + rows]:
+            if m := where.get(y):
+                m &= open_
+                open_ = ((open_ + m) | (open_ - m)) & full
+    return out + (high - low) - open_.bit_count()
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Of two texts' labelled shingles, by their alignment within the band that ``least`` allows; 0 if it is below ``least``."""
+    """Of two texts' words, by their alignment within the band that ``least`` allows; 0 if it is below ``least``."""
     n1, n2 = len(a), len(b)
     if not n1 or not n2:
         return float(n1 == n2)
     enough = int(np.ceil(least / (1 + least) * (n1 + n2) - 1e-9))
-    _, i, j = np.intersect1d(a, b, assume_unique=False, return_indices=True)
-    if len(i) < enough:
+    if min(n1, n2) < enough:
+        return 0.0
+    kinds, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = code[:n1], code[n1:]
+    if np.minimum(np.bincount(one, minlength=len(kinds)), np.bincount(two, minlength=len(kinds))).sum() < enough:
         return 0.0
-    order = np.argsort(i)
-    i, j = i[order], j[order]
-    near = np.abs(i - j) <= n1 + n2 - 2 * enough
-    j = j[near]
-    if len(j) > 1 and (np.diff(j) < 0).any():
-        ends: list[int] = []  # the smallest last place of an increasing run of each length
-        for x in j.tolist():
-            at = bisect_left(ends, x)
-            ends[at : at + 1] = [x]
-        m = len(ends)
-    else:
-        m = len(j)
+    m = matched(one, two, enough)
     return m / (n1 + n2 - m) if m >= enough else 0.0
 
 
+class Sketcher:
+    """Word hashes of texts; those of what stands between white space are kept, about CACHE stretches, then afresh."""
+
+    def __init__(self):
+        self.kept = S.Kept(CACHE, np.uint64)
+
+    @staticmethod
+    def _learn(stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words = [s.decode().lower().split() for s in stretches]
+        digest = xxhash.xxh3_64_intdigest
+        return np.array([digest(w.encode()) for own in words for w in own], np.uint64), np.fromiter(map(len, words), np.int64, len(words))
+
+    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        different, which, before = S.stretched(texts, S.at_blanks)
+        return self.kept.rows(self.kept.numbers(different, self._learn)[which], before)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, raw (digest of the text), node (digest of its words), n, keys and shingles; of copies in a task, the first alone has the last two."""
+    """row (a number of its own), doc_id, raw (digest of the text), node (digest of its words), n (words), keys and words; of copies in a task, the first alone has the last two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = Hasher(), set()
+        sketcher, seen, task, count = S.held("neardup", Sketcher), set(), TaskContext.get().partitionId() << 33, 0
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                raw, node, size, bands, sequence = [], [], [], [], []
-                for text in part.column(1).to_pylist():
-                    text = text or ""
-                    words = text.lower().split()
-                    raw.append(hashlib.md5(text.encode()).digest())
-                    node.append(hashlib.md5(" ".join(words).encode()).digest())
-                    size.append(max(1, len(words) - K + 1) if words else 0)
-                    if node[-1] in seen or not words:
+            for part in S.slices(b, 1, rows=500):
+                flat, ends = sketcher.words(part.column(1))
+                raw = [hashlib.md5(t or b"").digest() for t in part.column(1).cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()]
+                node, bands, own = [], [], []
+                for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    words = flat[i:j]
+                    node.append(hashlib.md5(words.tobytes()).digest())
+                    if node[-1] in seen or i == j:
                         bands.append(None)
-                        sequence.append(None)
+                        own.append(None)
                         continue
                     if len(seen) > CACHE:
                         seen.clear()
                     seen.add(node[-1])
-                    own = shingles(hasher(words))
-                    bands.append(keys(own).view(np.int64))
-                    sequence.append(own.astype("<u4").tobytes())
-                columns = [part.column(0), pa.array(raw, pa.binary()), pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(sequence, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "raw", "node", "n", "keys", "shingles"])
+                    bands.append(keys(shingles(words)).view(np.int64))
+                    own.append((words >> np.uint64(32)).astype("<u4").tobytes())
+                row = pa.array(np.arange(task + count, task + count + part.num_rows))
+                count += part.num_rows
+                columns = [row, part.column(0), pa.array(raw, pa.binary()), pa.array(node, pa.binary()), pa.array(np.diff(ends).astype(np.int32)), pa.array(bands, pa.list_(pa.int64())), pa.array(own, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "raw", "node", "n", "keys", "words"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, raw binary, node binary, n int, keys array<long>, shingles binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, doc_id long, raw binary, node binary, n int, keys array<long>, words binary")
 
 
 def _salted(many: DataFrame, few: DataFrame, on: list[str], salt, how: str = "inner") -> DataFrame:
@@ -156,22 +203,23 @@ def _salted(many: DataFrame, few: DataFrame, on: list[str], salt, how: str = "in
 
 
 def verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
-    """Of pairs (a, b), those that are similar enough. sequences: node, shingles."""
-    one = sequences.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    two = sequences.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    whole = pairs.join(one, "a").join(two, "b")
+    """Of pairs (leader, node, fan), those that are similar enough, as a and b. sequences: node, words. A leader's text has as many copies as its largest fan."""
+    copies = pairs.groupBy("leader").agg(F.max("fan").alias("copies")).select(F.col("leader").alias("node"), "copies")
+    one = sequences.join(copies, "node").select(F.col("node").alias("leader"), F.col("words").alias("left"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_salt"))
+    two = sequences.select("node", F.col("words").alias("right"))
+    whole = pairs.withColumn("_salt", F.pmod(F.xxhash64("node"), F.col("fan")).cast("int")).join(one, ["leader", "_salt"]).join(two, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(2), batch.column(3)
             ok = [similarity(np.frombuffer(left[i].as_py(), "<u4"), np.frombuffer(right[i].as_py(), "<u4"), least) >= least for i in range(batch.num_rows)]
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.select([0, 1]).filter(pa.array(ok, pa.bool_())).columns, names=["a", "b"])
 
-    return whole.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
+    return whole.select("leader", "node", "left", "right").mapInArrow(run, "a binary, b binary")
 
 
 def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many labelled shingles each text of left has in common with each of right."""
+    """How many labelled words each text of left has in common with each of right."""
     sides = [(np.repeat(np.arange(len(x)), [len(t) for t in x]), np.concatenate(x)) for x in (left, right)]
     common = np.intersect1d(sides[0][1], sides[1][1])
     out = np.zeros((len(left), len(right)), np.float32)
@@ -207,7 +255,8 @@ def block_links(labels: list[bytes], texts: list[np.ndarray], first: np.ndarray,
         may = np.triu(may, 1)
     if not may.any():
         return []
-    may &= shared([texts[i] for i in one], [texts[i] for i in two]) >= np.ceil(least / (1 + least) * (n1 + n2) - 1e-9)
+    marked = [labelled(t.astype(np.uint64)) for t in texts]
+    may &= shared([marked[i] for i in one], [marked[i] for i in two]) >= np.ceil(least / (1 + least) * (n1 + n2) - 1e-9)
     parent = list(range(int(group.max()) + 1))
 
     def root(x: int) -> int:
@@ -237,12 +286,12 @@ def blockwise(now: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     own = F.when(is_main, F.col("others") + F.pmod(draw, F.col("mains"))).otherwise(F.pmod(draw, F.col("others"))).cast("int")
     last = F.when(is_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
     split = split.select("key", "node", "label", own.alias("own"), last.alias("last")).join(sequences, "node")
-    met = split.select("key", "label", "shingles", "own", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
-    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label", "shingles")
+    met = split.select("key", "label", "words", "own", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label", "words")
 
     def run(group: pa.Table) -> pa.Table:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        texts = [np.frombuffer(x, "<u4") for x in group.column("shingles").to_pylist()]
+        texts = [np.frombuffer(x, "<u4") for x in group.column("words").to_pylist()]
         links = block_links(group.column("label").to_pylist(), texts, group.column("own").to_numpy() == i, i == j, least)
         return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
@@ -277,7 +326,7 @@ def classes(table: DataFrame, least: float = SIMILARITY) -> DataFrame:
     several = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     members = S.written(_salted(spread, several, ["key"], F.xxhash64("node")), "neardup-members")
     some = members.select("node").distinct()
-    sequences = S.written(table.where("keys IS NOT NULL").select("node", "shingles").join(some, "node").dropDuplicates(["node"]), "neardup-shingles")
+    sequences = S.written(table.where("keys IS NOT NULL").select("node", "words").join(some, "node").dropDuplicates(["node"]), "neardup-shingles")
     labels, tested = None, None
     for turn in range(ROUNDS + 1):
         now = members if labels is None else members.join(labels, "node", "left")
@@ -286,18 +335,19 @@ def classes(table: DataFrame, least: float = SIMILARITY) -> DataFrame:
         about = now.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(order).alias("least")).where("low <> high").select("key", "size", "least")
         leads = order == F.col("least")
         leads = leads | (F.col("size") <= SMALL) if turn else leads
-        active = S.written(_salted(now, about, ["key"], F.xxhash64("node")).select("key", "node", "n", "label", leads.alias("leads")), "neardup-active")
+        active = S.written(_salted(now, about, ["key"], F.xxhash64("node")).select("key", "node", "n", "label", "size", leads.alias("leads")), "neardup-active")
         if active.isEmpty():
             break
         if turn == ROUNDS:  # what is left are large buckets
             links = blockwise(active, sequences, least)
         else:
-            leaders = active.where("leads").select("key", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("label").alias("other"))
+            leaders = active.where("leads").select("key", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("label").alias("other"), F.ceil(F.col("size") / FAN).cast("int").alias("fan"))
             met = _salted(active.select("key", "node", "n", "label"), leaders, ["key"], F.xxhash64("node"))
             fits = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9
-            pairs = met.where(fits & (F.col("label") != F.col("other"))).select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
+            first, second = F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")
+            pairs = met.where(fits & (F.col("label") != F.col("other"))).groupBy(first, second).agg(F.max(F.struct("fan", "leader", "node")).alias("x")).select("a", "b", "x.*")
             pairs = S.written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "neardup-pairs")
-            tested = pairs if tested is None else tested.unionByName(pairs)
+            tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
             links = verified(pairs, sequences, least)
             if labels is not None:
                 for c in ("a", "b"):
@@ -313,26 +363,34 @@ def classes(table: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """docs (doc_id, text): doc_id, raw, class_id (the smallest id of its class), copies (rows of its class) and kept (it stands for its class)."""
+    """docs (doc_id, text): doc_id, raw, class_id (the smallest id of its class), copies (rows of its class) and kept (it alone stands for its class)."""
     table = S.written(sketches(docs), "neardup-sketches")
     labels = classes(table, least)
-    rows = table.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "raw", "node")
-    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.count("*").alias("copies"))
+    rows = table.select("row", F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "raw", "node")
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "raw", "row")).alias("first"), F.count("*").alias("copies"))
     nodes = S.written(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "neardup-nodes")
     best = nodes.groupBy("label").agg(F.min("first").alias("best"), F.sum("copies").alias("all"))
     of_node = _salted(nodes.select("node", "label"), best, ["label"], F.xxhash64("node")).select("node", "best", "all")
-    joined = _salted(rows, of_node, ["node"], F.xxhash64("doc_id", "raw"))
+    joined = _salted(rows, of_node, ["node"], F.xxhash64("row"))
     own = F.when(F.col("doc_id") < LAST, F.col("doc_id"))
-    stands = F.struct("doc_id", "raw") == F.col("best")
+    stands = F.col("row") == F.col("best.row")
     return joined.select(own.alias("doc_id"), "raw", F.when(F.col("best.doc_id") < LAST, F.col("best.doc_id")).alias("class_id"), F.col("all").alias("copies"), stands.alias("kept"))
 
 
 def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each class."""
-    kept = near_duplicates(docs, least).where("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("raw").alias("_raw")).distinct()
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_raw", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
-    same = Window.partitionBy("_id", "_raw").orderBy(F.lit(0))
-    return keyed.join(kept.hint("merge"), ["_id", "_raw"], "left_semi").withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*docs.columns)
+    """docs with one row of each class. Rows that repeat id and text are reduced in the tasks that read them before they meet."""
+    an_id, raw, times = (S.free_name(docs.columns, x) for x in ("_id", "_raw", "_times"))
+    found = near_duplicates(docs, least)
+    marks = found.groupBy(F.coalesce("doc_id", F.lit(LAST)).alias(an_id), F.col("raw").alias(raw)).agg(F.count("*").alias(times), F.max("kept").alias("kept"))
+    marks = S.written(marks.where("kept").drop("kept"), "neardup-kept")
+    keyed = docs.withColumn(an_id, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(raw, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    once, several = marks.where(F.col(times) == 1).drop(times), marks.where(F.col(times) > 1).drop(times)
+    out = keyed.join(once.hint("merge"), [an_id, raw], "left_semi").select(*docs.columns)
+    if several.isEmpty():
+        return out
+    repeated = _salted(keyed, several, [an_id, raw], F.spark_partition_id())  # any of the equal keys' rows will do
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.unionByName(repeated.groupBy(an_id, raw).agg(F.first(whole).alias("x")).select("x.*"))
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
