@@ -12,13 +12,15 @@ from tracelab.llm import language, lines, neardup, packing, toxicity
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text reads like one of the learned languages."""
     model = language.fit(language.learnable(docs))
-    return language.identify(docs, model).where("accepted").select(*docs.columns)
+    names = tuple(S.free_name(docs.columns, x) for x in ("_language", "_chance", "_accepted"))
+    return language.identify(docs, model, out=names).where(F.col(names[2])).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5."""
     model = toxicity.train(docs, toxicity.learnable(S.table(spark, sf_dir, "labels")))
-    return toxicity.score_toxicity(docs, model, out="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    score = S.free_name(docs.columns, "_toxicity")
+    return toxicity.score_toxicity(docs, model, out=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
