@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tracelab.llm import fingerprint as P
@@ -42,6 +43,32 @@ def test_fingerprint_of_few_rows(spark):
     assert P.fingerprints(df.where("false")).count() == 0
 
 
+def test_likeness_equals_plain_counts():
+    """Against the cosine between the counts of 8-character pieces, and on texts in which one piece stands more often than 16 bits can count."""
+    docs = [r["text"] or "" for r in pq.read_table(f"{D}/documents.parquet", columns=["text"]).to_pylist()][:60]
+    changed = [t[: len(t) // 2] + docs[(i + 1) % 60][: len(t) // 2] for i, t in enumerate(docs)]
+
+    def pieces(text):
+        of = Counter()
+        for p in text.split("\n"):
+            of.update(p[i : i + 8] for i in range(len(p) - 7))
+            if 0 < len(p) < 8:
+                of[p] += 1
+        return of
+
+    def cosine(a, b):
+        norm = np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+        return sum(a[k] * b[k] for k in a) / norm if norm else float(a == b)
+
+    for other in (changed, docs[1:] + docs[:1]):
+        got = P.likeness(P.vectors(docs), P.vectors(other))
+        want = np.array([cosine(pieces(a), pieces(b)) for a, b in zip(docs, other, strict=True)])
+        assert np.abs(got - want).max() < 4 / np.sqrt(P.LANES) and np.abs(got - want).mean() < 1 / np.sqrt(P.LANES)
+    for n in (1000, 33_000, 70_000, 200_000):
+        assert P.likeness(P.vectors(["a" * n]), P.vectors(["a" * 1000]))[0] > 0.999
+    assert (P.likeness(P.parsed(P.strings(P.vectors(docs))), P.vectors(docs)) == 1).all()
+
+
 def test_homomorphism():
     a, b, both, swapped = (P.vectors([t]) for t in ("one para\nanother", "third here", "one para\nanother\nthird here", "third here\nanother\none para"))
     assert P.strings(P.combine(a, b)) == P.strings(both) == P.strings(swapped)

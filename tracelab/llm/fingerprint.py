@@ -1,11 +1,11 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
 A paragraph (what stands between line ends) hashes to a wide vector in two parts: ``UNIFORM`` lanes of 64 bits from SHA-256 of its bytes, and
-``LANES`` lanes of 16 bits that sum a sign for each of its ``GRAM``-character pieces at the lane that the piece's hash names. A fingerprint
-is the sum of its paragraphs' vectors, lane by lane, modulo 2**64 and 2**16. So the order of paragraphs doesn't
+``LANES`` lanes of 32 bits that sum a sign for each of its ``GRAM``-character pieces at the lane that the piece's hash names. A fingerprint
+is the sum of its paragraphs' vectors, lane by lane, modulo 2**64 and 2**32. So the order of paragraphs doesn't
 matter, a paragraph is inserted by adding its vector and deleted by subtracting it, and equal multisets of paragraphs have equal fingerprints; with
 others, the uniform lanes are equal only by a 256-bit collision. Signed lanes estimate how alike two texts are: the cosine
-between them is that between the texts' piece counts, give or take 1 / sqrt(LANES).
+between them is that between the texts' piece counts, give or take 1 / sqrt(LANES). A lane would wrap only in texts of over 2**31 pieces, more than a string can hold.
 
 The edited text of a document needs the start of the next one by descending id. Ids are cut into ranges at quantiles; a row that comes first in
 its range also goes to the range before, marked as a copy, so that each range holds all that it needs, in order, in a stream.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelab.llm import _shared as S
@@ -61,7 +61,7 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for i, text in enumerate(texts):
         raw = b"".join([sha(p).digest() for p in text.encode().split(b"\n")])
         uniform[i] = np.frombuffer(raw, "<u8").reshape(-1, UNIFORM).sum(axis=0, dtype=np.uint64)
-    return uniform, signed.astype(np.uint16)
+    return uniform, signed.astype(np.uint32)
 
 
 def _add(signed: np.ndarray, owner: np.ndarray, h: np.ndarray) -> None:
@@ -76,17 +76,17 @@ def combine(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
 
 
 def strings(v: tuple[np.ndarray, np.ndarray]) -> list[str]:
-    return [u.astype("<u8").tobytes().hex() + "." + base64.b64encode(s.astype("<u2").tobytes()).decode() for u, s in zip(*v, strict=True)]
+    return [u.astype("<u8").tobytes().hex() + "." + base64.b64encode(s.astype("<u4").tobytes()).decode() for u, s in zip(*v, strict=True)]
 
 
 def parsed(fingerprints: list[str]) -> tuple[np.ndarray, np.ndarray]:
     halves = [x.split(".") for x in fingerprints]
-    return np.array([np.frombuffer(bytes.fromhex(a), "<u8") for a, _ in halves]).reshape(-1, UNIFORM), np.array([np.frombuffer(base64.b64decode(b), "<u2") for _, b in halves]).reshape(-1, LANES)
+    return np.array([np.frombuffer(bytes.fromhex(a), "<u8") for a, _ in halves]).reshape(-1, UNIFORM), np.array([np.frombuffer(base64.b64decode(b), "<u4") for _, b in halves]).reshape(-1, LANES)
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """From 0 to 1; 1 for equal fingerprints."""
-    x, y = (v[1].astype(np.uint16).view(np.int16).astype(np.float64) for v in (a, b))
+    x, y = (v[1].astype(np.uint32).view(np.int32).astype(np.float64) for v in (a, b))
     norm = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
     same = (a[0] == b[0]).all(axis=1) & (a[1] == b[1]).all(axis=1)
     return np.where(same, 1.0, np.clip((x * y).sum(axis=1) / np.where(norm > 0, norm, 1), 0, 1))
@@ -103,8 +103,15 @@ def neighbours(docs: DataFrame, ranges: int) -> DataFrame:
 
     The last row of a slot is a copy of the first of the next slot, of the first of all at the end."""
     cuts = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else []
-    above = F.expr(f"aggregate(array({','.join(f'{c}L' for c in cuts)}), 0, (n, c) -> n + if(doc_id >= c, 1, 0))") if cuts else F.lit(0)
-    slotted = docs.withColumn("slot", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(above).cast("int")).withColumn("copy", F.lit(0))
+
+    def above(low: int, high: int) -> Column:
+        """How many cuts are not above doc_id, between low and high of them, by halving."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col("doc_id") >= cuts[middle], above(middle + 1, high)).otherwise(above(low, middle))
+
+    slotted = docs.withColumn("slot", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(above(0, len(cuts))).cast("int")).withColumn("copy", F.lit(0))
     tops = {r["slot"]: r["top"] for r in slotted.groupBy("slot").agg(F.max("doc_id").alias("top")).collect()}  # a row for each range
     order = sorted(tops, reverse=True)
     if not order:
