@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from tracelab.llm import _shared as S
 from tracelab.llm import fingerprint as P
 from tracelab.llm import lines as X
 from tracelab.llm import neardup as N
@@ -83,9 +84,11 @@ def test_edited_is_nearer_than_next(spark):
     assert np.mean([r.near_edited > r.near_next for r in got]) > 0.97
 
 
-def brute_lines(rows, least):
+def brute_lines(rows, least, often):
     order = sorted(rows, key=lambda r: r[0])
     seqs = [[x.strip() for x in t.split("\n") if x.strip()] for _, t in order]
+    stands = Counter(x for t in {t for _, t in order} for y in t.split("\n") if (x := y.strip()))
+    weight = {x: max(len(x.split()), least if n >= often else 0) for x, n in stands.items()}
     first = {}
     spans = lambda s: ((i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1))
     for d, s in enumerate(seqs):
@@ -95,29 +98,60 @@ def brute_lines(rows, least):
     for d, s in enumerate(seqs):
         off = [False] * len(s)
         for i, j in spans(s):
-            if sum(len(x.split()) for x in s[i:j]) >= least and first[tuple(s[i:j])] < (d, i):
+            if sum(weight[x] for x in s[i:j]) >= least and first[tuple(s[i:j])] < (d, i):
                 off[i:j] = [True] * (j - i)
         out.append((order[d][0], [x for x, o in zip(s, off, strict=True) if not o], sum(off)))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed,least", [(5, 4), (6, 9)])
-def test_line_runs_equal_brute_force(spark, seed, least):
+@pytest.mark.parametrize("seed,least,often", [(5, 4, 1000), (6, 9, 1000), (7, 30, 60), (8, 5, 12), (9, 1, 5)])
+def test_line_runs_equal_brute_force(spark, seed, least, often):
     random.seed(seed)
     base = [" ".join(random.choice("abcd") for _ in range(random.randint(1, 6))) for _ in range(8)]
-    rows = [(i, "\n".join(random.choice([*base, ""]) for _ in range(random.randint(0, 14)))) for i in range(40)]
-    rows += [(100 + i, rows[3][1]) for i in range(3)] + [(200, "x"), (201, "")]
-    got = X.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()
-    assert sorted([(r.doc_id, [x.strip() for x in r.text.split("\n") if x.strip()], r._line_deleted) for r in got], key=str) == brute_lines(rows, least)
+    rows = [(i, "\n".join(random.choice([*base, "", f"only {i}"]) for _ in range(random.randint(0, 14)))) for i in range(40)]
+    rows += [(100 + i, rows[3][1]) for i in range(3)] + [(200, "x"), (201, ""), (202, base[0]), (203, base[0]), (204, base[0] + "\n" + base[1]), (204, base[0] + "\n" + base[1]), (205, "x"), (205, "x")]
+    got = X.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), least, often).collect()
+    assert sorted([(r.doc_id, [x.strip() for x in r.text.split("\n") if x.strip()], r._line_deleted) for r in got], key=str) == brute_lines(rows, least, often)
+
+
+def test_suffix_array_and_prefixes_equal_brute_force(spark):
+    random.seed(3)
+    docs = [[random.choice("aabbcdX") for _ in range(random.randint(0, 20))] for _ in range(30)]
+    kinds = {c: k for k, c in enumerate("abcd")}  # X: a line that stands once
+    rows = [(d, i, kinds[c], False) for d, s in enumerate(docs) for i, c in enumerate(s) if c != "X"]
+    depth = 8
+    array, rounds = X.suffix_array(spark.createDataFrame(rows, "doc long, i int, rank long, often boolean"), depth)
+
+    def suffix(d, i):
+        own = docs[d][i : i + depth]
+        return own[: own.index("X")] if "X" in own else own
+
+    order = sorted({tuple(suffix(d, i)) for d, i, _, _ in rows})
+    assert {(r.doc, r.i): r["rank"] for r in array.collect()} == {(d, i): order.index(tuple(suffix(d, i))) for d, i, _, _ in rows}
+    common = [0] + [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(order, order[1:])]
+    prefixes = S.written(X.common_prefixes(array, rounds), "test-prefixes")
+    assert [r.lcp for r in prefixes.orderBy("rank").collect()] == common
+    for r in X.intervals(prefixes, depth).collect():
+        assert list(r.begins) == [next(k for k in range(r["rank"], -1, -1) if common[k] < n) for n in range(1, depth + 1)]
+
+
+def test_no_boilerplate_line_of_the_test_table_stands_often(spark):
+    got = X.op7_lines(spark, "/root/testdata/sf0.01").collect()
+    stands = Counter(x.strip() for r in got if r.text for x in r.text.split("\n") if x.strip())
+    assert all(n == 1 for x, n in stands.items() if len(x.split()) >= X.MIN_WORDS) and max(stands.values()) < X.OFTEN
 
 
 def test_line_edge_cases(spark):
     long = " ".join(f"w{i}" for i in range(60))
-    rows = [(3, f"start\n{long}\n\nend", "k"), (5, f"{long}\n\nother", "k"), (1, None, "k"), (2, "", "k"), (None, long, "k"), (9, long, "k"), (9, long, "k"), (10, "short\nshort", "k")]
+    rows = [(3, f"start\n{long}\n\nend", "k"), (5, f"{long}\n\nother", "k"), (1, None, "k"), (2, "", "k"), (None, long, "k"), (9, long, "k"), (9, long, "k"), (10, "short\nshort", "k"), (11, "a\n" * 20_000, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, digest string")
     got = sorted(((r.doc_id or 0, r.text) for r in X.dedup_lines(df).collect()), key=str)
-    assert got == sorted([(3, f"start\n{long}\n\nend"), (5, "other"), (1, None), (2, ""), (0, ""), (9, ""), (9, ""), (10, "short\nshort")], key=str)
+    assert got == sorted([(3, f"start\n{long}\n\nend"), (5, "other"), (1, None), (2, ""), (0, ""), (9, ""), (9, ""), (10, "short\nshort"), (11, "a")], key=str)
     assert X.dedup_lines(df.where("false")).count() == 0
+    odd = df.selectExpr("doc_id", "text", "digest AS whole", "1 AS starts", "2 AS lengths", "3 AS _line_digest", "4 AS _LINE_COUNT", "5 AS doc", "6 AS rank")
+    out = X.dedup_lines(odd)
+    assert out.columns == ["doc_id", "text", "whole", "starts", "lengths", "_line_digest", "doc", "rank", "_line_count", "_line_deleted"]
+    assert {r[2:8] for r in out.collect()} == {("k", 1, 2, 3, 5, 6)} and sorted(((r.doc_id or 0, r.text) for r in out.collect()), key=str) == got
 
 
 def test_windows_cover_a_run():
