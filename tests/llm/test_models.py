@@ -118,6 +118,36 @@ def test_toxicity_of_held_out_documents(spark):
     assert all(g.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, g in got.items())
 
 
+def test_toxicity_equals_a_dense_fit():
+    """Ratios and weights against a plain implementation: sets of n-grams, dense matrix, Newton's method."""
+    random.seed(5)
+    words = ["mild", "calm", "vile", "awful", "tree", "stone", "river"]
+    texts = [" ".join(random.choices(words, weights=[3, 3, 4 * (i % 3 == 0) + 0.2, 2 * (i % 3 == 0) + 0.2, 3, 3, 3], k=random.randint(0, 9))) for i in range(60)]
+    y = np.array([int(i % 3 == 0) for i in range(60)], float)
+    grams = [{f" {w} "[a : a + n] for w in t.split() for n in X.ORDERS for a in range(len(w) + 3 - n)} for t in texts]
+    stands = Counter(g for own in grams for g in own)
+    kinds = sorted(g for g, n in stands.items() if n > 1)
+    x = np.array([[g in own for g in kinds] for own in grams], float)
+    share, size = x.mean(axis=0), (y.sum(), (1 - y).sum())
+    apart = abs(x[y == 1].mean(axis=0) - x[y == 0].mean(axis=0)) / np.sqrt(share * (1 - share) * (1 / size[0] + 1 / size[1]) + 1e-12)
+    kinds = [g for g, a in zip(kinds, apart, strict=True) if a >= X.APART]
+    x = x[:, apart >= X.APART]
+    p, n = x[y == 1].sum(axis=0) + 1, x[y == 0].sum(axis=0) + 1
+    ratio = np.log(p / (y.sum() + 2)) - np.log(n / ((1 - y).sum() + 2))
+    z = np.column_stack([x * ratio, np.ones(60)])
+    w = np.zeros(z.shape[1])
+    penalty = np.append(np.ones(len(kinds)), 0) * X.L2
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve((z * (q * (1 - q))[:, None]).T @ z + np.diag(penalty + 1e-12), z.T @ (q - y) + penalty * w)
+    row, feature = X._features(texts)
+    model = X.fit([feature[row == i] for i in range(60)], y.astype(int).tolist(), y.mean())
+    assert len(model["ids"]) == len(kinds)
+    assert np.allclose(X.scores(model, texts), 1 / (1 + np.exp(-z @ w)), atol=2e-3)
+    moved = X.fit([feature[row == i] for i in range(60)], y.astype(int).tolist(), 0.01)
+    assert moved["b"] < model["b"] and np.allclose(moved["w"], model["w"])
+
+
 def test_toxicity_edge_cases(spark):
     random.seed(1)
     rows = [(i, " ".join(random.choice(["mild", "calm", "soft", "warm"]) for _ in range(12)) + (" vile" if i % 2 else "")) for i in range(60)]
@@ -128,6 +158,10 @@ def test_toxicity_edge_cases(spark):
     got = [r.toxicity for r in X.score_toxicity(odd, model).orderBy("doc_id").collect()]
     assert got[0] == got[1] and got[2] > 0.5 > got[3] and got[4] < 0.5
     assert X.score_toxicity(odd.where("false"), model).count() == 0
+    clash = X.score_toxicity(odd.withColumn("Out", F.lit("y")).withColumn("key", F.lit(2)), model, out="out")
+    assert clash.columns == ["doc_id", "text", "toxic", "key", "out"] and [r.out for r in clash.orderBy("doc_id").collect()] == got
+    repeated = X.train(docs.unionByName(docs), labels)
+    assert np.array_equal(repeated["ids"], model["ids"]) and np.allclose(repeated["w"], model["w"], atol=1e-5)
     flat = X.train(docs, labels.where("toxic = 0"))
     assert len({r.toxicity for r in X.score_toxicity(odd, flat).collect()}) == 1
     assert X.train(docs, labels.where("false"))["ids"].size == 0
