@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import math
 import random
@@ -108,7 +109,34 @@ def test_archives_read_back(spark, tmp_path, size):
     rows = [(1, "u", "é" * 5000), (2, None, "é" * 5000), (2, "x", "a"), (2, "x", "a"), (3, "y z", None), (None, "q", ""), (5, "w", "\r\n\r\nWARC/1.1\r\n"), (None, "r", "b")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, first int")
     W.write_archives(df, f"file://{tmp_path}/w", segment_bytes=size)
-    assert sorted(map(tuple, W.read_archives(spark, f"file://{tmp_path}/w").collect()), key=str) == brute_pages(rows)
+    got = W.read_archives(spark, f"file://{tmp_path}/w").collect()
+    assert all(r.error is None for r in got) and sorted((tuple(r)[:5] for r in got), key=str) == brute_pages(rows)
+
+
+def test_many_pages_and_large_pages_are_bounded_archives(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "ARCHIVE_BYTES", 60_000)
+    rows = [(i, "u", f"{i} " * (8000 if i % 10 == 0 else 10)) for i in range(60)]
+    W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), f"file://{tmp_path}/w", segment_bytes=1024)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "w").glob("*.gz")]
+    assert len(sizes) > 4 and max(sizes) < 70_000
+    assert sorted((tuple(r)[:5] for r in W.read_archives(spark, f"file://{tmp_path}/w").collect()), key=str) == brute_pages(rows)
+
+
+def test_malformed_records_are_rows(spark, tmp_path):
+    sha = W.digest(b"abc")
+    good = [b"".join(r + b"\r\n\r\n" for r in W.page_records(i, "u", b"abc" * k, W.digest(b"abc" * k), None, False, f"urn:{i}", 60)) for i, k in ((1, 1), (2, 90))]
+    revisit = W.page_records(3, "u", b"abc", sha, 1, True, "urn:3")[0] + b"\r\n\r\n"
+    assert b"WARC-Refers-To: <urn:page:1:" + sha.encode() in revisit
+    lost = W.page_records(4, "u", b"x" * 500, W.digest(b"x" * 500), None, False, "urn:4", 60)
+    lost = b"".join(r + b"\r\n\r\n" for r in lost[:2] + lost[3:])
+    wrong = W.page_records(5, "u", b"abc", W.digest(b"abd"), None, False, "urn:5")[0] + b"\r\n\r\n"
+    no_length = b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-ID: 6\r\n\r\nabc\r\n\r\n"
+    short = (W.page_records(7, "u", b"abc", sha, None, False, "urn:7")[0]).replace(b"Content-Length: ", b"Content-Length: 9") + b"\r\n\r\n"
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc.gz").write_bytes(gzip.compress(b"junk\r\n\r\n" + good[0] + short + no_length + good[1] + lost + wrong + revisit))
+    got = {r.page_id: r for r in W.read_archives(spark, f"file://{tmp_path}/w").collect() if r.page_id is not None}
+    assert {i for i, r in got.items() if r.error is None} == {1, 2, 3} and {i for i, r in got.items() if r.error} == {4, 5, 6, 7}
+    assert (got[2].payload_bytes, got[3].refers_to, got[3].record_type) == (270, 1, "revisit")
 
 
 def test_empty_archive(spark, tmp_path):

@@ -7,12 +7,15 @@ with WARC-Segment-Total-Length. Records end with two line ends, which is the lin
 the folder in spark.checkpoint.dir.
 
 The reader takes each archive, splits records by their Content-Length, and lets those that are whole through. Segments are grouped by
-origin, which is unique to a record, put in order of their numbers and joined if numbers are complete and lengths add up to the total; else the record
-has the error it has. Then chunked framing is decoded and the payload's digest is compared with the record's.
+origin, which is unique to a record, put in order of their numbers and joined if numbers are complete and lengths add up to the total. Then chunked framing is decoded and the
+payload's digest is compared with the record's. A record that fails in any of this is a row with ``error`` and what its head tells; after bytes that don't make a record, reading goes on at
+the next one that begins.
 
-An archive holds at most ``RECORDS`` records, so that a task can hold it. Copies of one payload are found by digest: digests are counted before
+An archive holds about ``ARCHIVE_BYTES`` at most, as a record is no longer than a segment, so that a task can hold it. Copies of one payload are found by digest: digests are counted before
 the shuffle, and only ids and digests of payloads with copies are joined, salted, so that no task gets all copies of one.
 
+A revisit names its target's record in WARC-Refers-To; where rows repeat the target's id and payload, their records' IDs have a number besides, which it leaves out.
+
 Edge cases: null html is an empty payload. A null page_id is read back as null and never is a response if a copy has an id. Rows with equal id and payload are
 each a record, all responses if theirs is the smallest id. An empty table gives an empty result. Extra columns are left out, whatever their names.
 """
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,9 +34,11 @@ from pyspark.sql import functions as F
 
 from tracelab.llm import _shared as S
 
-SEGMENT_BYTES, CHUNK_BYTES, RECORDS, SALTS = 32 << 10, 8 << 10, 1000, 16
+SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES, SALTS = 4 << 10, 1500, 32 << 20, 16
+#: About what a record has besides its block.
+HEAD_BYTES = 600
 NONE_ID = "none"
-CONTENT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+CONTENT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, error string"
 RECORD = f"{CONTENT}, origin string, number int, total long, block binary"
 
 
@@ -70,6 +76,10 @@ def record(kind: str, own_id: str, block: bytes, **fields: object) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block
 
 
+def page_urn(page: int | None, sha: str) -> str:
+    return f"urn:page:{NONE_ID if page is None else page}:{sha}"
+
+
 def page_records(page: int | None, url: str | None, payload: bytes, sha: str, refers_to: int | None, revisit: bool, own_id: str, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
     shown = NONE_ID if page is None else page
     uri = "".join(c for c in url or "" if c > " ") or f"urn:page:{shown}"
@@ -77,7 +87,7 @@ def page_records(page: int | None, url: str | None, payload: bytes, sha: str, re
     if revisit:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        return [record("revisit", own_id, block, **common, WARC_Profile=profile, X_Refers_To_Page_ID=NONE_ID if refers_to is None else refers_to)]
+        return [record("revisit", own_id, block, **common, WARC_Profile=profile, WARC_Refers_To=f"<{page_urn(refers_to, sha)}>")]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     cut = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
     if len(cut) == 1:
@@ -90,13 +100,14 @@ def page_records(page: int | None, url: str | None, payload: bytes, sha: str, re
 
 
 def with_copies(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, html) with ``first``, the smallest id of those with its payload (null: it has no copies), and ``revisit``."""
+    """pages (page_id, url, html) with ``first``, the smallest id of those with its payload (null: it has no copies), ``repeated`` (some id stands twice with this payload) and ``revisit``."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
     known = pages if min_bytes <= 0 else pages.where(F.octet_length("html") >= min_bytes)
-    several = known.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    of_page = known.groupBy("sha", "page_id").agg(F.count("*").alias("n"))
+    several = of_page.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("n").alias("most"), F.sum("n").alias("n")).where("n > 1").select("sha", "first", (F.col("most") > 1).alias("repeated"))
     salted = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    own = pages.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     joined = own.join(salted, ["sha", "salt"], "left").drop("salt", "sha")
     enough = F.octet_length("html") >= min_bytes
     return joined.withColumn("revisit", F.col("first").isNotNull() & enough & ~F.col("page_id").eqNullSafe(F.col("first")))
@@ -110,41 +121,60 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment_byte
         for b in batches:
             for at in range(0, b.num_rows, 100):
                 out = []
-                for page, url, html, first, revisit in zip(*(c.to_pylist() for c in b.slice(at, 100).columns), strict=True):
+                for page, url, html, first, repeated, revisit in zip(*(c.to_pylist() for c in b.slice(at, 100).columns), strict=True):
                     payload = html.encode()
-                    out += page_records(page, url, payload, digest(payload), first if revisit else None, revisit, f"urn:record:{task}:{n}", segment_bytes)
+                    sha = digest(payload)
+                    unique = page is not None and not repeated and len(payload) >= min_bytes
+                    own_id = page_urn(page, sha) + ("" if unique else f":{task}.{n}")
+                    out += page_records(page, url, payload, sha, first if revisit else None, revisit, own_id, segment_bytes)
                     n += 1
                 yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
 
     records = with_copies(pages, min_bytes).mapInArrow(run, "record binary").select(F.col("record").cast("string"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // (segment_bytes + HEAD_BYTES))).text(path)
 
 
-def split_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def split_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes | str]]:
+    """Head and block of each record; a text in place of the block says why there is none."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record begins at byte {at}")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(head["content-length"])
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        head: dict[str, str] = {}
+        try:
+            end = data.index(b"\r\n\r\n", at)
+            lines = data[at:end].decode().split("\r\n")
+            if not lines[0].startswith("WARC/"):
+                raise ValueError("no record begins here")
+            head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            size = int(head["content-length"])
+            stop = end + 4 + size
+            if size < 0 or data[stop : stop + 4] != b"\r\n\r\n":
+                raise ValueError("the block doesn't end where its length says")
+            yield head, data[end + 4 : stop]
+            at = stop + 4
+        except (ValueError, KeyError) as why:
+            yield head, f"byte {at}: {why}"
+            after = data.find(b"\r\n\r\nWARC/", at + 1)
+            at = len(data) if after < 0 else after + 4
+
+
+def _page(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"-?\d+", text) else None
 
 
 def _content(head: dict[str, str], block: bytes) -> tuple:
-    page = head["x-page-id"]
-    page_id = None if page == NONE_ID else int(page)
-    sha = head["warc-payload-digest"].removeprefix("sha1:")
-    if head["warc-type"] == "revisit":
-        fields = dict(x.split(": ", 1) for x in block.decode().split("\r\n")[1:] if x)
-        to = head["x-refers-to-page-id"]
-        return page_id, int(fields["Content-Length"]), sha, "revisit", None if to == NONE_ID else int(to)
-    payload = http_payload(block)
-    if digest(payload) != sha:
-        raise ValueError(f"the payload of page {page} doesn't have its digest")
-    return page_id, len(payload), sha, "response", None
+    """The columns of CONTENT for a record that isn't segmented or is whole again."""
+    page, sha = _page(head.get("x-page-id")), head.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    kind = head.get("warc-type")
+    try:
+        if kind == "revisit":
+            fields = dict(x.split(": ", 1) for x in block.decode().split("\r\n")[1:] if x)
+            return page, int(fields["Content-Length"]), sha, "revisit", _page(head["warc-refers-to"].split(":")[2]), None
+        payload = http_payload(block)
+        if digest(payload) != sha:
+            raise ValueError("the payload doesn't have its digest")
+        return page, len(payload), sha, "response", None, None
+    except (ValueError, KeyError, IndexError) as why:
+        return page, None, sha, kind, None, f"{type(why).__name__}: {why}"
 
 
 def joined_segments(segments: list[tuple[int, int | None, bytes]]) -> bytes:
@@ -161,36 +191,40 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """CONTENT of each record in the archives at path, segmented ones reassembled."""
     import gzip
 
-    schema = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
+    schema = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
     names = [x.strip().split(" ")[0] for x in RECORD.split(",")]
 
+    def row(head: dict[str, str], block: bytes | str) -> tuple:
+        if isinstance(block, str):
+            return (_page(head.get("x-page-id")), None, None, head.get("warc-type"), None, block, None, None, None, None)
+        number, total = _page(head.get("warc-segment-number")), _page(head.get("warc-segment-total-length"))
+        if number is None:
+            return (*_content(head, block), None, None, None, None)
+        if number == 1:
+            sha = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
+            return (_page(head.get("x-page-id")), None, sha, "response", None, None, head.get("warc-record-id", ""), 1, total, block)
+        return (None, None, None, None, None, None, head.get("warc-segment-origin-id", ""), number, total, block)
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0):
-                rows: list[tuple] = []
-                for head, block in split_records(gzip.decompress(data.as_py())):
-                    number = head.get("warc-segment-number")
-                    if number is None:
-                        rows.append((*_content(head, block), None, None, None, None))
-                    elif number == "1":
-                        page = head["x-page-id"]
-                        rows.append((None if page == NONE_ID else int(page), None, head["warc-payload-digest"].removeprefix("sha1:"), "response", None, head["warc-record-id"], 1, None, block))
-                    else:
-                        total = head.get("warc-segment-total-length")
-                        rows.append((None, None, None, None, None, head["warc-segment-origin-id"], int(number), total and int(total), block))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], names=names)
+                rows = [row(*x) for x in split_records(gzip.decompress(data.as_py()))]
+                for at in range(0, len(rows), 4000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 4000], strict=True), schema, strict=True)], names=names)
 
     def whole(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         head = min(rows, key=lambda r: r["number"])
-        block = joined_segments([(r["number"], r["total"], r["block"]) for r in rows])
-        fields = {"x-page-id": NONE_ID if head["page_id"] is None else str(head["page_id"]), "warc-payload-digest": head["payload_digest"], "warc-type": "response"}
-        return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(_content(fields, block), schema, strict=False)], names=names[:5])
+        fields = {"x-page-id": NONE_ID if head["page_id"] is None else str(head["page_id"]), "warc-payload-digest": head["payload_digest"] or "", "warc-type": "response"}
+        try:
+            found = _content(fields, joined_segments([(r["number"], r["total"], r["block"]) for r in rows]))
+        except ValueError as why:
+            found = (head["page_id"], None, head["payload_digest"], "response", None, str(why))
+        return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(found, schema, strict=False)], names=names[:6])
 
     files = spark.read.format("binaryFile").load(path).select("content")
     records = S.written(files.mapInArrow(parse, RECORD), "warc-records")
-    complete = records.where("origin IS NULL").select(*names[:5])
+    complete = records.where("origin IS NULL").select(*names[:6])
     segmented = records.where("origin IS NOT NULL").groupBy("origin").applyInArrow(whole, CONTENT)
     return complete.unionByName(segmented)
 
@@ -198,7 +232,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = S.shared_path(spark, "warc")
     write_archives(S.table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path)
+    return read_archives(spark, path).drop("error")
 
 
 OP10_SQL = """
