@@ -313,6 +313,19 @@ def test_blocks_equal_brute_force(spark, monkeypatch, size):
     assert components([(r.a, r.b) for r in links]) == components(near)
 
 
+def test_components_of_chains_and_stars(spark):
+    random.seed(4)
+    name = lambda i: f"{i:04d}".encode()
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + random.randrange(40), 200 + random.randrange(40)) for _ in range(35)]
+    got = N.contracted(spark.createDataFrame([(name(a), name(b)) for a, b in edges], "a binary, b binary")).collect()
+    of = {x: x for e in edges for x in e}
+    for _ in of:
+        for a, b in edges:
+            of[a] = of[b] = min(of[a], of[b])
+    assert len(got) == len({bytes(r.node) for r in got})
+    assert {bytes(r.node): bytes(r.label) for r in got} == {name(a): name(b) for a, b in of.items() if a != b}
+
+
 def test_near_edge_cases(spark):
     text = " ".join(f"a{i}" for i in range(80))
     rows = [(None, text), (4, text), (4, text), (6, text + " end"), (7, "solo")]

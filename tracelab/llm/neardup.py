@@ -305,11 +305,12 @@ def contracted(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy("a").agg(F.min("b").alias("p")).where("p < a")
-        hop = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
-        for _ in range(2):  # of the chains that these make, most end within four steps; the rest go on in the next round
-            parent = parent.join(hop, "p", "left").select("a", F.coalesce("q", "p").alias("p"))
-            parent = S.written(parent, "neardup-parents")
+        moved = True
+        while moved:  # of chains of parents, all end at their last node, so that no node of this round is met again in the next
             hop = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
+            parent = S.written(parent.join(hop, "p", "left").select("a", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "neardup-parents")
+            moved = not parent.where("moved").isEmpty()
+            parent = parent.select("a", "p")
         up = lambda df, c: df.join(parent.select(F.col("a").alias(c), F.col("p").alias("_p")), c, "left").withColumn(c, F.coalesce("_p", c)).drop("_p")
         nodes = parent.select(F.col("a").alias("node"), F.col("p").alias("label"))
         labels = nodes if labels is None else up(labels, "label").unionByName(nodes)
