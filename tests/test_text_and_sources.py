@@ -96,11 +96,23 @@ def test_prepared_container(spark, tmp_path):
         records.read_prepared(spark, str(path))
 
 
-def test_control_files(tmp_path):
-    control.ensure_manifest(tmp_path / "m.json", {"a": 1}, False)
-    control.ensure_manifest(tmp_path / "m.json", {"a": 1}, True)
-    with pytest.raises(ValueError):
-        control.ensure_manifest(tmp_path / "m.json", {"a": 2}, True)
+def test_control_files(spark, tmp_path):
+    at, own = tmp_path / "new" / "m.json", {"a": 1, "b": {"c": "é", "d": [1, None]}}
+    with pytest.raises(FileNotFoundError):
+        control.claim(spark, at, own, True)
+    control.claim(spark, at, own, False)
+    control.claim(spark, at, own, True)
+    assert control.get_object(spark, at) == own and json.loads(at.read_text()) == own
+    with pytest.raises(FileExistsError):
+        control.claim(spark, at, own, False)
+    with pytest.raises(ValueError, match="a, b.c, b.x"):
+        control.claim(spark, at, {"a": 2, "b": {"c": "e", "d": [1, None], "x": None}}, True)
+    control.put_object(spark, at, {"a": 3})
+    assert control.get_object(spark, at) == {"a": 3} and [p.name for p in at.parent.iterdir() if not p.name.startswith(".")] == ["m.json"]
+    digest = control.file_digest(at)
+    assert control.unchanged({str(at): digest}) == []
+    control.put_object(spark, at, {"a": 4})
+    assert control.unchanged({str(at): digest, str(tmp_path / "gone"): "x"}) == [str(at), str(tmp_path / "gone")]
     control.publish_folder(tmp_path / "d", {"x": "1"})
     with pytest.raises(FileExistsError):
         control.publish_folder(tmp_path / "d", {"x": "2"})

@@ -32,7 +32,7 @@ def prepare(a: argparse.Namespace) -> int:
     if len(a.inputs) > 1:
         preparation.require_profiles(raw, records.read_json(spark, a.inputs[1], DIALOGUE).select(checks.profile_id(F.col("ID")).alias("conversation_id")))
     turns = raw.select("conversation_id", F.explode("Dialogue").alias("t")).select("conversation_id", F.col("t.Turn").alias("turn"), F.col("t.Seeker").alias("seeker"), F.col("t.Supporter").alias("supporter"))
-    out = preparation.prepare(preparation.parse_dialogues(turns), json.loads(a.sizes), a.seed, rng=a.rng)
+    out = preparation.prepare(preparation.parse_dialogues(turns), json.loads(a.sizes), a.seed)
     records.write_jsonl(out, a.out)
     return 0
 
@@ -73,7 +73,6 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--kind", default="sft", choices=("sft", "slot", "visible"))
     p.add_argument("--sizes", default='{"train": 96, "dev": 16, "diagnostic_holdout": 16}')
     p.add_argument("--seed", type=int, default=42)
-    p.add_argument("--rng", default="hash", choices=("hash", "mt19937"))
     a = p.parse_args(argv)
     return COMMANDS[a.command](a)
 

@@ -1,39 +1,46 @@
-"""Context memory over a stream of patches: one state for each session, changed in order by the same rules as in batch."""
+"""Context memory over a stream of patches, changed in order by the same columns as in batch; windowed counts of events."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from tracelab.operators.context import merge_facts
-
-PATCHES = "session string, turn long, add array<string>, replace array<struct<old:string,new:string>>, remove array<string>"
-OUT = "session string, turn long, facts array<string>, errors array<string>"
-STATE = "turn long, facts array<string>"
-
-
-def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, facts = state.get if state.exists else (-1, [])
-    facts = list(facts)
-    rows = pd.concat(list(frames)).sort_values("turn", kind="stable")
-    for r in rows.itertuples():
-        if r.turn <= last:  # a turn that came again
-            continue
-        listed = lambda x: [] if x is None else list(x)
-        pairs = [(p["old"], p["new"]) if isinstance(p, dict) else (p.old, p.new) for p in listed(r.replace)]
-        facts, errors = merge_facts(facts, listed(r.add), pairs, listed(r.remove))
-        last = int(r.turn)
-        yield pd.DataFrame({"session": [key[0]], "turn": [last], "facts": [facts], "errors": [errors]})
-    state.update((last, facts))
-
-
-def session_facts(patches: DataFrame) -> DataFrame:
-    """patches (a stream of PATCHES): the facts after each turn. A session's turns must not come in earlier batches than ones before them."""
-    return patches.groupBy("session").applyInPandasWithState(_step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
+
+from tracelab.operators.context import EMPTY_CONTEXT, fold_contexts
+from tracelab.schemas import PATCH
+
+PATCHES = T.StructType([T.StructField("session", T.StringType()), T.StructField("turn", T.LongType()), T.StructField("patch", PATCH), T.StructField("committed", T.BooleanType())])
+CONTEXTS = T.StructType([T.StructField("session", T.StringType()), T.StructField("turn", T.LongType()), T.StructField("context", EMPTY_CONTEXT)])
+#: Every so many versions one holds all sessions; the others hold those that changed.
+WHOLE_EVERY = 16
+
+
+def contexts(spark: SparkSession, folder: str, before: int) -> DataFrame:
+    """The last turn and context of each session in the versions below ``before``: from the last whole one on."""
+    whole = before // WHOLE_EVERY * WHOLE_EVERY - 1
+    own = spark.read.schema(T.StructType([*CONTEXTS, T.StructField("version", T.LongType())])).parquet(f"{folder}/contexts")
+    own = own.where((F.col("version") >= whole) & (F.col("version") < before))
+    return own.groupBy("session").agg(F.max_by(F.struct("turn", "context"), "version").alias("x")).select("session", "x.*")
+
+
+def remember(patches: DataFrame, folder: str) -> DataStreamWriter:
+    """A writer for a stream of PATCHES. Of each batch it writes the contexts after each turn to ``folder``/turns and a version of the sessions' contexts to
+    ``folder``/contexts; a batch that is run again, after a failure, writes the same places. Turns up to a session's last one, which came again or too late, are left out."""
+    patches.sparkSession.createDataFrame([], CONTEXTS).write.mode("ignore").parquet(f"{folder}/contexts/version=-1")
+
+    def step(batch: DataFrame, version: int) -> None:
+        known = contexts(batch.sparkSession, folder, version)
+        last = known.select("session", F.col("turn").alias("_last"), F.col("context").alias("_before"))
+        fresh = batch.join(last, "session", "left").where(F.col("_last").isNull() | (F.col("turn") > F.col("_last"))).dropDuplicates(["session", "turn"])
+        turns = f"{folder}/turns/version={version}"
+        fold_contexts(fresh, "session", "turn", "_before").write.mode("overwrite").parquet(turns)
+        now = batch.sparkSession.read.parquet(turns).groupBy("session").agg(F.max_by(F.struct("turn", "context"), "turn").alias("x")).select("session", "x.*")
+        if version % WHOLE_EVERY == WHOLE_EVERY - 1:
+            now = now.unionByName(known.join(now, "session", "left_anti"))
+        now.write.mode("overwrite").parquet(f"{folder}/contexts/version={version}")
+
+    return patches.writeStream.foreachBatch(step)
 
 
 def event_windows(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
