@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from tracelab.plans import catalogue
+from tracelab.plans import catalogue, faults, registry  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,13 +21,13 @@ def compare(spark, name, query, sql):
     assert sorted((tuple(r) for r in df.select(*sorted(df.columns)).collect()), key=repr) == want
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue.SQL if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in registry.SQL if n not in SLOW])
 def test_query_equals_sql(spark, name):
-    compare(spark, name, catalogue.QUERIES[name], catalogue.SQL[name])
+    compare(spark, name, registry.QUERIES[name], registry.SQL[name])
 
 
 def test_assignments_equal_sql(spark):
-    compare(spark, "assignment_plan", catalogue.QUERIES["assignment_plan"], catalogue.SQL["assignment_plan"])
+    compare(spark, "assignment_plan", registry.QUERIES["assignment_plan"], registry.SQL["assignment_plan"])
 
 
 def test_entry_module_runs(spark):

@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelab.functions import numbers as N
 from tracelab.functions import text as X
-from tracelab.operators import audit, balance, checks, context, dialogue, export, preparation, quality, stats
+from tracelab.operators import audit, balance, checks, dialogue, export, preparation, quality, stats
 from tracelab.operators import traces as T
 from tracelab.plans import tables as D
+from tracelab.plans.registry import query
 from tracelab.schemas import DIMENSIONS, QUOTAS, SOURCE_STRATEGY, STATE_FIELDS, TARGET_STRATEGIES
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def rounded(x: str, places: int = 4) -> str:
     return f"cast(format('{{:.{places}f}}', {x}) AS DOUBLE)"
 
@@ -193,12 +177,17 @@ def phase_strategies(spark, d):
     return audit.phase_strategies(D.candidates(spark, d).where("selected"))
 
 
-@query(f"""WITH {D.CANDIDATES} SELECT example_id, candidate_id,
-CASE WHEN strategy = 'Information' AND regexp_matches(response, '(?i)\\b(i|i''m|i’ve|i''ve|me|my|mine)\\b') THEN 'first-person'
-  WHEN strategy = 'Restatement or Paraphrasing' AND regexp_matches(response, '(?i)\\b(you should|try|consider)\\b') THEN 'directive'
-  WHEN strategy = 'Self-disclosure' AND regexp_matches(response, '(?i)\\b(therapist|doctor)\\b') THEN 'self-disclosure' END AS reason FROM cand""")
+_SAID = ("I'm sure of it", "you should rest", "my therapist helped", "nothing shared", "what about that supplier", "plain words")
+
+
+@query(f"""WITH {D.CANDIDATES} SELECT example_id, candidate_id, CASE
+  WHEN strategy = 'Information' AND said IN (0, 2) THEN 'first-person' WHEN strategy = 'Restatement or Paraphrasing' AND said = 1 THEN 'directive'
+  WHEN strategy = 'Restatement or Paraphrasing' AND said <> 4 THEN 'no-overlap' WHEN strategy = 'Self-disclosure' AND said = 2 THEN 'self-disclosure' END AS reason
+FROM (SELECT *, example_id::BIGINT % 6 AS said FROM cand)""")
 def rejection_flags(spark, d):
-    return D.candidates(spark, d).select("example_id", "candidate_id", X.rejection_reason(F.col("strategy"), F.col("response"), F.col("asked")).alias("reason"))
+    """Replies of each kind that needs review, and of kinds that don't."""
+    said = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("example_id").cast("long") % 6 + 1).cast("int"))
+    return D.candidates(spark, d).select("example_id", "candidate_id", X.rejection_reason(F.col("strategy"), said, F.col("asked")).alias("reason"))
 
 
 # Balance
@@ -283,11 +272,21 @@ def assignment_apply(spark, d):
     return after.groupBy("split", F.col("final_selection.selected_strategy").alias("strategy")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT NULL::VARCHAR AS example_id, NULL::VARCHAR AS problem WHERE false")
+@query(f"""{_PLAN}, r AS (SELECT c.example_id, bool_or(p.source = 'reuse') AS assigned FROM cand c LEFT JOIN plan p USING (example_id) GROUP BY 1),
+b AS (SELECT example_id, CASE WHEN k = 1 THEN 'row is missing' WHEN k = 2 THEN 'split, history or state changed' WHEN k = 3 AND NOT assigned THEN 'an unassigned row changed' WHEN k = 4 AND assigned THEN 'an assigned row lacks its strategy' END AS problem
+FROM (SELECT example_id, coalesce(assigned, false) AS assigned, example_id::BIGINT % 13 AS k FROM r))
+SELECT * FROM b WHERE problem IS NOT NULL UNION ALL SELECT 'new-' || example_id, 'row was added' FROM r WHERE example_id::BIGINT % 13 = 5""")
 def derivative_diff(spark, d):
+    """A derivative with rows dropped, added, changed in what is fixed, changed without an assignment, or left as they were despite one."""
     own = D.traces(spark, d)
     planned = _plan(spark, d).where("source = 'reuse'")
-    return balance.derivative_problems(own, balance.apply_reuse(own, planned), planned)
+    at = F.col("example_id").cast("long") % 13
+    after = balance.apply_reuse(own, planned).join(planned.select("example_id", F.lit(True).alias("_assigned")), "example_id", "left").join(own.select("example_id", F.col("final_selection").alias("_before")), "example_id")
+    assigned = F.coalesce("_assigned", F.lit(False))
+    selection = F.when((at == 3) & ~assigned, F.col("final_selection").withField("response", F.lit("~"))).when((at == 4) & assigned, F.col("_before")).otherwise(F.col("final_selection"))
+    after = after.withColumns({"final_selection": selection, "state": F.when(at == 2, F.col("state").withField("dominant_emotion", F.lit("~"))).otherwise(F.col("state"))})
+    added = after.where(at == 5).withColumn("example_id", F.concat(F.lit("new-"), "example_id"))
+    return balance.derivative_problems(own, after.where(at != 1).unionByName(added), planned)
 
 
 @query(f"""{_PLAN}, q AS (SELECT *, row_number() OVER (PARTITION BY source, split, target_strategy ORDER BY {_sha(f"'{D.SEED}'", "'review'", "example_id")}, example_id) AS pos,
@@ -317,10 +316,14 @@ def export_visible(spark, d):
     return export.visible_rows(D.traces(spark, d).where(F.col("split").isin("train", "dev"))).drop("history")
 
 
-@query(f"WITH {D.CANDIDATES} SELECT example_id, response AS reply, NULL::VARCHAR AS problem FROM cand WHERE selected AND split IN ('train', 'dev')")
+@query(f"""WITH {D.CANDIDATES} SELECT example_id, CASE WHEN k IN (2, 3) THEN NULL ELSE response END AS reply,
+CASE WHEN k IN (1, 2) THEN 'visible-SFT marker [{STATE_FIELDS[0]}] is missing or out of order' WHEN k = 3 THEN 'visible-SFT value for [response] must not be empty' WHEN k = 4 THEN 'visible-SFT marker [selected_strategy] is missing or out of order' END AS problem
+FROM (SELECT *, example_id::BIGINT % 7 AS k FROM cand WHERE selected AND split IN ('train', 'dev'))""")
 def visible_parse(spark, d):
-    own = export_visible(spark, d)
-    return own.select("example_id", X.visible_reply(F.col("response")).alias("reply"), X.visible_problem(F.col("response")).alias("problem"))
+    """Targets that parse, and some whose first marker, all markers, reply or strategy marker is gone."""
+    at, text = F.col("example_id").cast("long") % 7, F.col("response")
+    broken = F.when(at == 1, F.substring(text, F.lit(2), F.length(text))).when(at == 2, "no marker").when(at == 3, F.concat(F.substring_index(text, "[response]", 1), F.lit("[response] "))).when(at == 4, F.replace(text, F.lit("[selected_strategy]"), F.lit("(strategy)"))).otherwise(text)
+    return export_visible(spark, d).select("example_id", X.visible_reply(broken).alias("reply"), X.visible_problem(broken).alias("problem"))
 
 
 @query(f"WITH {D.CANDIDATES} SELECT example_id, response, split FROM cand WHERE selected AND split = 'train'")
@@ -394,20 +397,6 @@ def round_distribution(spark, d):
     return audit.distribution(dialogue_parse(spark, d), "n_targets")
 
 
-@query()
-def context_fold(spark, d):
-    kind = F.array("event_type")
-    other = F.concat(F.col("event_type"), F.lit("!"))
-    empty = F.array().cast("array<string>")
-    own = D.read(spark, d, "events").select(
-        "user_id", "event_id",
-        F.when(F.col("event_id") % 3 != 1, kind).otherwise(empty).alias("add"),
-        F.when(F.col("event_id") % 3 == 1, F.array(F.struct(F.col("event_type").alias("old"), other.alias("new")))).alias("replace"),
-        F.when(F.col("event_id") % 5 == 0, kind).when(F.col("event_id") % 5 == 1, F.array(other)).otherwise(empty).alias("remove"),
-    )
-    return context.fold_facts(own, "user_id", "event_id").select("user_id", F.array_join("values", "|").alias("facts"), F.size("errors").cast("long").alias("n_errors"))
-
-
 # Quality
 
 
@@ -426,11 +415,13 @@ c AS (SELECT CASE WHEN c_custkey % 10 < 7 THEN 'train' WHEN c_custkey % 10 < 8 T
 e AS (SELECT c.*, m.model_id FROM c CROSS JOIN (SELECT DISTINCT model_id FROM o) m)"""
 
 
-@query(f"""{_EXPECTED}, g AS (SELECT e.split, e.model_id, count(*) AS expected, count(o.model_id) AS successful, 0::BIGINT AS failed FROM e LEFT JOIN o USING (split, example_id, model_id) GROUP BY 1, 2)
+@query(f"""{_EXPECTED}, g AS (SELECT e.split, e.model_id, count(*) AS expected, count(o.model_id) AS successful, count(*) FILTER (o.model_id IS NULL AND e.example_id::BIGINT % 4 = 0) AS failed FROM e LEFT JOIN o USING (split, example_id, model_id) GROUP BY 1, 2)
 SELECT *, expected - successful - failed AS missing, {rounded("successful / expected::DOUBLE")} AS coverage_rate FROM g""")
 def model_coverage(spark, d):
     done = D.scored_orders(spark, d)
-    return quality.coverage(quality.expected_keys(D.customers(spark, d), _models(spark, done)), done, done.limit(0))
+    expected = quality.expected_keys(D.customers(spark, d), _models(spark, done))
+    failed = dialogue.pending(expected, done, keys=tuple(quality.KEY)).where(F.col("example_id").cast("long") % 4 == 0)
+    return quality.coverage(expected, done, failed)
 
 
 @query(f"{_EXPECTED} SELECT e.* FROM e ANTI JOIN o USING (split, example_id, model_id)")
@@ -612,9 +603,10 @@ def collapse_gates(spark, d):
     return audit.collapse_gates(D.candidates(spark, d), D.read(spark, d, "documents"))
 
 
-@query("""SELECT lang, count(*) FILTER (regexp_matches(text, '^\\s*```')) AS fenced, count(*) AS candidates, 0::BIGINT AS fenced_selected FROM documents GROUP BY 1""")
+@query("""SELECT lang, count(*) FILTER (doc_id % 7 = 0) AS fenced, count(*) AS candidates, count(*) FILTER (doc_id % 21 = 0) AS fenced_selected FROM documents GROUP BY 1""")
 def contamination(spark, d):
-    own = D.read(spark, d, "documents").select(F.col("lang").alias("slot"), "text", F.lit(False).alias("selected"))
+    """Texts with and without a fence before them."""
+    body = F.coalesce("text", F.lit(""))
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit(" \n```json\n"), body)).otherwise(F.concat(F.lit("x ```"), body))
+    own = D.read(spark, d, "documents").select(F.col("lang").alias("slot"), text.alias("text"), (F.col("doc_id") % 3 == 0).alias("selected"))
     return audit.contamination(own).withColumnRenamed("slot", "lang")
-
-

@@ -89,7 +89,7 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 def write_annotations(pairs: DataFrame, path: str) -> None:
     """The public side of blinded pairs: no model names, empty fields for a reviewer."""
     own = pairs.select(*(F.col(c) if c in pairs.columns else F.lit("").alias(c) for c in ANNOTATION))
-    own.write.option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").csv(path)
+    own.write.option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def save_vectors(bank: DataFrame, path: str) -> None:
