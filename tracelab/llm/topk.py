@@ -1,13 +1,18 @@
 """Exact top-k search by inner product over KD-trees, one for each shard.
 
-Vectors are dealt to shards of about ``SHARD_ROWS`` by a hash of their ids, queries to blocks of about ``BLOCK_ROWS``; each pair of a block and a
-shard meets once, in a task that holds just these. A shard's tree splits at the median of the coordinate with the widest extent
+Shards are dealt by space: a bounded sample of vectors is split at medians of the coordinate with the widest extent until there are enough parts, and every vector goes to the part
+that it falls into. A shard's bounding box is taken from all its vectors. A query first goes to the shard whose box allows it the highest score; the kth score found there goes
+with it to those other shards whose boxes allow as much, and to no others. Where many queries come to a shard they are cut into groups of about ``BLOCK_ROWS``, and each group meets the
+shard in a task of its own.
+
+A shard's tree splits at the median of the coordinate with the widest extent
 and keeps for each node a tight bounding box and its smallest id. A query goes through nodes best first: by the largest inner product
 that a node's box allows, the sum over coordinates of the larger of q * low and q * high. It stops at the first node whose
-bound is below its kth score. A block meets its own shard first; the kth score found there goes with the query to all other shards.
+bound is below its kth score. What remains is that vectors without clusters in many dimensions have boxes that rule out little: then each query meets most shards.
 
-Scores are integers: products and sums stay below 2**53 and so are exact in floating point; where they couldn't, 64-bit integers are used and nothing is pruned.
-Of equal vectors in a shard, only those with the k + 1 smallest ids can be among a query's k best, since ties go to smaller ids; the tree holds these.
+Scores are integers: products and sums below 2**53 are exact in floating point; beyond, scores are summed in 64-bit integers, beyond these in Python's, and bounds are widened by
+their rounding error. A score that doesn't fit into 64 bits raises.
+Of equal vectors, only those with the k + 1 smallest ids can be among a query's k best, since ties go to smaller ids, and of rows that repeat an id and a vector only k; the shards hold these.
 
 Edge cases: a vector that is null or empty or holds a null or a non-finite component takes no part. A query meets vectors of its own length. Rows with a query's
 id are its own and aren't candidates; repeated query rows count once. Fewer than k candidates are all returned. An empty table gives an empty result.
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +33,58 @@ from pyspark.sql import functions as F
 from tracelab.llm import _shared as S
 
 SHARD_ROWS, BLOCK_ROWS, LEAF, EXACT = 16_384, 8192, 256, 2**53
-FOUND = "query_id long, query_code long, dim int, block int, vec_id long, score long"
+#: Vectors of each length, at most, that the splits are made from; shards of each length, at most, so that boxes have a bound: 16 bytes a component and shard.
+SAMPLE, SHARDS = 20_000, 16_384
+FOUND = "query_id long, query_code long, vec_id long, score long"
+
+
+def box_bounds(low: np.ndarray, high: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """The largest inner product that each box allows each query, or a little more where floating point rounds it."""
+    low, high, queries = (x.astype(np.float64) for x in (low, high, queries))
+    out = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+    most = np.abs(queries) @ np.maximum(np.abs(low), np.abs(high)).T
+    return np.where(most < EXACT, out, out + most * queries.shape[1] * 2.0**-50)
+
+
+class Splits:
+    """Median splits of a sample into parts; a part's number for any vector."""
+
+    def __init__(self, sample: np.ndarray, parts: int):
+        self.nodes: list[tuple[int, float, int, int]] = []  # axis, cut, and for what is below it and the rest a node, or -1 - part
+        self.parts = 0
+        self.root = self._split(sample, parts)
+
+    def _split(self, own: np.ndarray, parts: int) -> int:
+        if parts > 1 and len(own):
+            axis = int((own.max(axis=0) - own.min(axis=0)).argmax())
+            column = own[:, axis]
+            cut = float(np.median(column))
+            if not (column < cut).any():
+                above = column[column > cut]
+                cut = float(above.min()) if len(above) else cut
+            left = column < cut
+            if left.any() and not left.all():
+                at = len(self.nodes)
+                self.nodes.append((axis, cut, 0, 0))
+                below = self._split(own[left], parts // 2)
+                rest = self._split(own[~left], parts - parts // 2)
+                self.nodes[at] = (axis, cut, below, rest)
+                return at
+        self.parts += 1
+        return -self.parts
+
+    def __call__(self, vectors: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(vectors), np.int64)
+        stack = [(self.root, np.arange(len(vectors)))]
+        while stack:
+            node, of = stack.pop()
+            if node < 0:
+                out[of] = -1 - node
+                continue
+            axis, cut, below, rest = self.nodes[node]
+            left = vectors[of, axis] < cut
+            stack += [(below, of[left]), (rest, of[~left])]
+        return out
 
 
 class Tree:
@@ -58,8 +115,7 @@ class Tree:
         self.least = [int(self.ids[a:b].min()) for a, b in nodes]
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """The largest inner product that each node's box allows each query."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        return box_bounds(self.low, self.high, queries)
 
     def search(self, own: int, query: np.ndarray, bound: list, k: int, floor: float, visited: list[int] | None = None) -> list[tuple[int, int]]:
         """(score, id) of the k best, best first; floor: a score that k others are known to reach."""
@@ -118,20 +174,17 @@ def search_group(vectors: pa.Table, queries: pa.Table, k: int, dim: int) -> pa.T
     out: list[tuple] = []
     if vectors.num_rows and queries.num_rows:
         ids, v, q = vectors.column("vec_id").to_numpy(), _matrix(vectors, "code", dim), _matrix(queries, "asked", dim)
-        exact = float(np.abs(v.astype(np.float64)).max()) * float(np.abs(q.astype(np.float64)).max()) * dim < EXACT
+        most = float(np.abs(v.astype(np.float64)).max()) * float(np.abs(q.astype(np.float64)).max()) * dim
+        kind = np.float64 if most < EXACT else np.int64 if most < 2**62 else object
         keep = smallest_of_equals(ids, v, k)
-        tree = Tree(ids[keep], v[keep].astype(np.float64 if exact else np.int64))
-        q = q.astype(tree.vectors.dtype)
-        floors = [-math.inf if f is None or not exact else f for f in queries.column("floor").to_pylist()]
+        tree = Tree(ids[keep], v[keep].astype(kind))
+        q, floors = q.astype(kind), [-math.inf if f is None else f for f in queries.column("floor").to_pylist()]
+        names = [queries.column(c).to_pylist() for c in ("query_id", "query_code")]
         for at in range(0, len(q), 256):  # bounds of so many queries at a time
-            bound = tree.bounds(q[at : at + 256]).tolist() if exact else [[math.inf] * len(tree.nodes)] * len(q[at : at + 256])
-            for i, b in enumerate(bound, at):
-                own, code, block = (queries.column(c)[i].as_py() for c in ("query_id", "query_code", "block"))
-                out += [(own, code, dim, block, vec, score) for score, vec in tree.search(own, q[i], b, k, floors[i])]
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-    names = ("query_id", "query_code", "dim", "block", "vec_id", "score")
-    columns = zip(*out, strict=True) if out else [[]] * 6
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            for i, b in enumerate(tree.bounds(q[at : at + 256]).tolist(), at):
+                out += [(names[0][i], names[1][i], vec, score) for score, vec in tree.search(names[0][i], q[i], b, k, floors[i])]
+    columns = zip(*out, strict=True) if out else [[]] * 4
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "query_code", "vec_id", "score"])
 
 
 def coded(df: DataFrame, scale: int = 256) -> DataFrame:
@@ -146,30 +199,101 @@ def _best(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def by_length(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.Table, int, np.ndarray]]:
+    """The rows of each length in a batch, with the length and the vectors as a matrix."""
+    for b in batches:
+        table = pa.Table.from_batches([b])
+        dims = b.column("dim").to_numpy()
+        for dim in np.unique(dims).tolist():
+            own = table.filter(pa.array(dims == dim))
+            yield own, dim, _matrix(own, column, dim)
+
+
+def dealt(vectors: DataFrame, shard_rows: int) -> DataFrame:
+    """vectors (vec_id, code, dim) with their shard, in a written table."""
+    counts = {r["dim"]: r["count"] for r in vectors.groupBy("dim").count().collect()}  # a row for each length
+    share = F.coalesce(*(F.when(F.col("dim") == d, F.lit(min(1.0, SAMPLE / n))) for d, n in counts.items()), F.lit(1.0))
+    drawn = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(1 << 20)) < share * (1 << 20)).select("dim", "code").collect()  # about SAMPLE of each length
+    splits = {d: Splits(np.array([r["code"] for r in drawn if r["dim"] == d], np.float64).reshape(-1, d), min(SHARDS, max(1, math.ceil(n / shard_rows)))) for d, n in counts.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, dim, v in by_length(batches, "code"):
+            yield from own.append_column("shard", pa.array(splits[dim](v).astype(np.int32))).to_batches()
+
+    return S.written(vectors.mapInArrow(run, "vec_id long, code array<long>, dim int, shard int"), "topk-dealt")
+
+
+def boxes(shards: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length the shards that hold vectors and their tight boxes."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], list[np.ndarray]] = {}
+        for own, dim, v in by_length(batches, "code"):
+            shard = own.column("shard").to_numpy()
+            for x in np.unique(shard).tolist():
+                mine = v[shard == x]
+                low, high = found.get((dim, x), (mine[0], mine[0]))
+                found[dim, x] = [np.minimum(low, mine.min(axis=0)), np.maximum(high, mine.max(axis=0))]
+        yield pa.RecordBatch.from_pydict({"dim": pa.array([d for d, _ in found], pa.int32()), "shard": pa.array([x for _, x in found], pa.int32()), "low": pa.array([a.tolist() for a, _ in found.values()], pa.list_(pa.int64())), "high": pa.array([b.tolist() for _, b in found.values()], pa.list_(pa.int64()))})
+
+    def whole(key: tuple, own: pa.Table) -> pa.Table:
+        dim = key[0].as_py()
+        low, high = _matrix(own, "low", dim).min(axis=0), _matrix(own, "high", dim).max(axis=0)
+        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": key[1:2], "low": pa.array([low.tolist()], pa.list_(pa.int64())), "high": pa.array([high.tolist()], pa.list_(pa.int64()))})
+
+    schema = "dim int, shard int, low array<long>, high array<long>"
+    rows = shards.mapInArrow(part, schema).groupBy("dim", "shard").applyInArrow(whole, schema).collect()  # at most SHARDS rows of a length
+    return {d: tuple(np.array([r[c] for r in rows if r["dim"] == d]) for c in ("shard", "low", "high")) for d in {r["dim"] for r in rows}}
+
+
+def routed(queries: DataFrame, held, home: bool) -> DataFrame:
+    """queries with ``shard``: the one whose box allows the highest score, or (with ``home`` and ``floor``) each other one whose box allows the floor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, dim, q in by_length(batches, "asked"):
+            if dim not in held.value:
+                continue
+            shard, low, high = held.value[dim]
+            step = max(1, 4_000_000 // len(shard))
+            for at in range(0, len(q), step):
+                bound = box_bounds(low, high, q[at : at + step])
+                if home:
+                    row, of = np.arange(len(bound)), bound.argmax(axis=1)
+                else:
+                    floor = np.array([-math.inf if f is None else f for f in own.column("floor").slice(at, step).to_pylist()])
+                    row, of = np.nonzero((bound >= floor[:, None]) & (shard[None, :] != own.column("home").to_numpy()[at : at + step, None]))
+                for i in range(0, len(row), 20_000):
+                    yield from own.take(pa.array(at + row[i : i + 20_000])).append_column("shard", pa.array(shard[of[i : i + 20_000]].astype(np.int32))).to_batches()
+
+    kept = ["query_id", "query_code", "asked", "dim", *([] if home else ["home", "floor"])]
+    return queries.select(*kept).mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.select(*kept).schema) + ", shard int")
+
+
+def searched(shards: DataFrame, asked: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """asked: routed queries with ``floor``, a written table. What each query finds in its shards."""
+    groups = asked.groupBy("dim", "shard").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("groups"))  # a row for each shard, at most SHARDS of a length
+    groups = S.written(groups, "topk-groups")
+    one, two = (F.broadcast(groups.select("dim", "shard", F.col("groups").alias(x))) for x in ("_of_vectors", "_of_queries"))
+    left = shards.join(one, ["dim", "shard"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_of_vectors") - 1)))
+    left = left.select("dim", "shard", "part", "vec_id", "code").groupBy("dim", "shard", "part")
+    right = asked.join(two, ["dim", "shard"]).withColumn("part", F.pmod(F.xxhash64("query_id", "query_code"), F.col("_of_queries")).cast("int"))
+    right = right.select("dim", "shard", "part", "query_id", "query_code", "asked", "floor").groupBy("dim", "shard", "part")
+    return left.cogroup(right).applyInArrow(lambda key, a, b: search_group(a, b, k, key[0].as_py()), FOUND)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """vectors: vec_id, code, dim. For each that is a query: query_id, rank, vec_id, score."""
     queries = vectors.where(is_query).dropDuplicates(["vec_id", "code"]).select(F.col("vec_id").alias("query_id"), F.col("code").alias("asked"), F.size("code").alias("dim"), F.xxhash64("code").alias("query_code"))
-    sizes = vectors.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
-    shards, blocks = max(1, math.ceil(sizes["n"] / shard_rows)), max(1, math.ceil(sizes["q"] / block_rows))
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(blocks)).cast("int"))
-
-    def wave(own: DataFrame, block_of_shard: Column, shard_of_block: Column) -> DataFrame:
-        left = dealt.withColumn("block", F.explode(block_of_shard)).groupBy("dim", "block", "shard")
-        right = own.withColumn("shard", F.explode(shard_of_block)).groupBy("dim", "block", "shard")
-        return left.cogroup(right).applyInArrow(lambda key, a, b: search_group(a, b, k, key[0].as_py()), FOUND)
-
-    every_block = F.sequence(F.lit(0), F.lit(blocks - 1))
-    every_shard = F.sequence(F.lit(0), F.lit(shards - 1))
-    home = F.pmod(F.col("block"), F.lit(shards))
-    first = wave(asked.withColumn("floor", F.lit(None).cast("long")), F.filter(every_block, lambda b: F.pmod(b, F.lit(shards)) == F.col("shard")), F.array(home))
-    found = first
-    if shards > 1:
-        found = S.written(first, "topk-first")
-        kth = found.groupBy("query_id", "query_code").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-        rest = wave(asked.join(kth, ["query_id", "query_code"], "left"), F.filter(every_block, lambda b: F.pmod(b, F.lit(shards)) != F.col("shard")), F.filter(every_shard, lambda s: s != home))
-        found = found.unionByName(rest)
-    return _best(found, k).select("query_id", "rank", "vec_id", "score")
+    same_row, same = Window.partitionBy("code", "vec_id").orderBy("dim"), Window.partitionBy("code").orderBy("vec_id")
+    few = vectors.withColumn("_n", F.row_number().over(same_row)).where(F.col("_n") <= k).withColumn("_n", F.dense_rank().over(same)).where(F.col("_n") <= k + 1).drop("_n")
+    shards = dealt(S.written(few, "topk-few"), shard_rows)
+    held = vectors.sparkSession.sparkContext.broadcast(boxes(shards))
+    first = S.written(routed(queries, held, True).withColumn("floor", F.lit(None).cast("long")), "topk-home")
+    found = S.written(searched(shards, first, k, block_rows), "topk-first")
+    kth = found.groupBy("query_id", "query_code").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    others = first.drop("floor").withColumnRenamed("shard", "home").join(kth, ["query_id", "query_code"], "left")
+    rest = S.written(routed(others, held, False), "topk-rest")
+    return _best(found.unionByName(searched(shards, rest, k, block_rows)), k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
