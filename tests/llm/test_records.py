@@ -50,6 +50,30 @@ def test_top_k_equals_brute_force(spark, sizes):
     assert X.top_k(X.coded(df.where("false")), F.col("vec_id") % 50 == 0, **sizes).count() == 0
 
 
+def test_shards_are_skipped_where_vectors_cluster(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 2, (16, 12))
+    rows = [(i, (centres[i % 16] + rng.normal(0, 0.05, 12)).tolist()) for i in range(3000)]
+    coded = X.coded(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    shards = X.dealt(coded, 100)
+    own = X.boxes(shards)
+    assert len(own[12][0]) >= 16 and shards.groupBy("shard").count().agg(F.max("count")).first()[0] < 400
+    for r in shards.take(50):
+        at = own[12][0].tolist().index(r.shard)
+        assert (own[12][1][at] <= r.code).all() and (own[12][2][at] >= r.code).all()
+    asked = coded.where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "code AS asked", "dim", "0L AS query_code", "0 AS home", "cast(2000000 AS long) AS floor")
+    sent = X.routed(asked, spark.sparkContext.broadcast(own), False).count()
+    assert 0 < sent < asked.count() * len(own[12][0]) / 2
+    got = sorted(map(tuple, X.top_k(coded, F.col("vec_id") % 50 == 0, shard_rows=100, block_rows=20).collect()))
+    assert got == brute_top(rows)
+
+
+def test_large_scores_and_many_equal_vectors(spark):
+    big = [(i, [float((-1) ** i * (i + 1) * 3e4), 2.5e6 + i]) for i in range(120)] + [(1000 + i, [1.0, 1.0]) for i in range(400)] + [(50, [1.0, 1.0])] * 9
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, X.top_k(X.coded(df), F.col("vec_id") % 50 == 0, shard_rows=30).collect())) == brute_top(big)
+
+
 def test_tree_prunes_and_is_exact():
     rng = np.random.default_rng(0)
     centres = rng.normal(0, 300, (40, 8))

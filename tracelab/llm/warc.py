@@ -212,21 +212,24 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 for at in range(0, len(rows), 4000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 4000], strict=True), schema, strict=True)], names=names)
 
-    def whole(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        head = min(rows, key=lambda r: r["number"])
-        fields = {"x-page-id": NONE_ID if head["page_id"] is None else str(head["page_id"]), "warc-payload-digest": head["payload_digest"] or "", "warc-type": "response"}
-        try:
-            found = _content(fields, joined_segments([(r["number"], r["total"], r["block"]) for r in rows]))
-        except ValueError as why:
-            found = (head["page_id"], None, head["payload_digest"], "response", None, str(why))
-        return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(found, schema, strict=False)], names=names[:6])
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for page, sha, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                fields = {"x-page-id": NONE_ID if page is None else str(page), "warc-payload-digest": sha or "", "warc-type": "response"}
+                try:
+                    rows.append(_content(fields, joined_segments([(p["number"], p["total"], p["block"]) for p in parts])))
+                except ValueError as why:
+                    rows.append((page, None, sha, "response", None, str(why)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema, strict=False)], names=names[:6])
 
     files = spark.read.format("binaryFile").load(path).select("content")
     records = S.written(files.mapInArrow(parse, RECORD), "warc-records")
     complete = records.where("origin IS NULL").select(*names[:6])
-    segmented = records.where("origin IS NOT NULL").groupBy("origin").applyInArrow(whole, CONTENT)
-    return complete.unionByName(segmented)
+    part = F.struct("number", "total", "block")
+    segmented = records.where("origin IS NOT NULL").groupBy("origin").agg(F.max("page_id").alias("page_id"), F.max("payload_digest").alias("payload_digest"), F.collect_list(part).alias("parts"))
+    return complete.unionByName(segmented.select("page_id", "payload_digest", "parts").mapInArrow(whole, CONTENT))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
