@@ -8,9 +8,10 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.operators import checks, export, preparation, quality, traces
-from tracelab.schemas import DIALOGUE, DIMENSIONS, PREPARED, TRACE
-from tracelab.sources import records
+from tracelab.operators import balance, checks, export, preparation, quality, traces
+from tracelab.schemas import DIALOGUE, DIMENSIONS, JUDGMENT, PREPARED, QUOTAS, RESPONSE, TRACE
+from tracelab.sources import control, records
+from tracelab.sources.staging import staged
 
 
 def _spark() -> SparkSession:
@@ -62,7 +63,66 @@ def report(a: argparse.Namespace) -> int:
     return 0
 
 
-COMMANDS = {"validate": validate, "prepare": prepare, "export": export_rows, "reselect": reselect, "count": show, "report": report}
+def flatten(a: argparse.Namespace) -> int:
+    """Traces of all rounds of the conversations in a file."""
+    spark = _spark()
+    records.write_jsonl(export.flatten_conversations(spark.read.json(a.inputs[0])).select(*TRACE.names), a.out)
+    return 0
+
+
+def balanced(a: argparse.Namespace) -> int:
+    """Traces with their selections moved by the assignment plan, and a manifest beside them; refuses if the input changed meanwhile."""
+    spark, digests = _spark(), {p: control.file_digest(p) for p in a.inputs}
+    own = records.read_records(spark, a.inputs[0], TRACE)
+    stratum = F.concat_ws("\0", "state.dominant_emotion", "state.distress_level")
+    choices = F.transform("candidates", lambda c: F.struct(c["candidate_id"].alias("candidate_id"), c["strategy"].alias("strategy")))
+    planning = own.select("example_id", "split", stratum.alias("stratum"), F.col("final_selection.selected_strategy").alias("strategy"), F.col("final_selection.selected_candidate_id").alias("selected_id"), choices.alias("candidates"))
+    planned = balance.plan(planning, a.seed, QUOTAS)
+    reused = planned.where("source = 'reuse'")
+    after = balance.apply_reuse(own, reused)
+    if bad := balance.derivative_problems(own, after, reused).take(3):
+        raise ValueError(f"the derivative is wrong: {[tuple(r) for r in bad]}")
+    records.write_jsonl(after, a.out)
+    if changed := control.unchanged(digests):
+        raise ValueError(f"changed while it was read: {', '.join(changed)}")
+    control.put_object(spark, f"{a.out.rstrip('/')}-manifest.json", balance.derivative_manifest(planned, after, a.seed, digests))
+    return 0
+
+
+def quality_merge(a: argparse.Namespace) -> int:
+    """Judgments of two files, the second of one further model, in one."""
+    spark = _spark()
+    base, added = (spark.read.schema(JUDGMENT).json(p) for p in a.inputs[:2])
+    ids = [sorted(r[0] for r in x.select("model_id").distinct().collect()) for x in (base, added)]
+    same = {"protocol_version": "", "splits": "", "settings": ""}
+    if bad := quality.merge_problems(same | {"model_ids": ids[0]}, same | {"model_ids": ids[1]}, base, added):
+        raise ValueError("; ".join(bad))
+    records.write_jsonl(quality.merged(base, added, quality.models_table(spark, ids[0] + ids[1])), a.out)
+    return 0
+
+
+def human_export(a: argparse.Namespace) -> int:
+    """Review sheets of blinded pairs, and beside them the mapping that reviewers don't get."""
+    responses = records.read_records(_spark(), a.inputs[0], RESPONSE)
+    if bad := quality.response_problems(responses).take(3):
+        raise ValueError(f"responses can't be paired: {[tuple(r) for r in bad]}")
+    pairs = staged(quality.blinded_pairs(responses, a.seed), "pairs")
+    records.write_annotations(pairs, a.out)
+    records.write_jsonl(pairs.select("pair_id", "split", "example_id", "model_a", "model_b"), f"{a.out.rstrip('/')}-mapping")
+    return 0
+
+
+def human_summary(a: argparse.Namespace) -> int:
+    """Votes from filled-in sheets and the mapping; refuses pairs that the mapping lacks."""
+    spark = _spark()
+    sheets, mapping = records.read_annotations(spark, a.inputs[0]), spark.read.json(a.inputs[1])
+    if bad := quality.unknown_pairs(sheets, mapping).take(3):
+        raise ValueError(f"unknown pairs: {[r['pair_id'] for r in bad]}")
+    records.write_jsonl(quality.votes(sheets, mapping), a.out, order=("split", "first", "second", "model_id"))
+    return 0
+
+
+COMMANDS = {"validate": validate, "prepare": prepare, "export": export_rows, "reselect": reselect, "count": show, "report": report, "flatten": flatten, "balance": balanced, "quality-merge": quality_merge, "human-export": human_export, "human-summary": human_summary}
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -113,6 +113,21 @@ def derivative_problems(before: DataFrame, after: DataFrame, assignments: DataFr
     return both.withColumn("problem", problem).where("problem IS NOT NULL").select("example_id", "problem")
 
 
+def derivative_manifest(planned: DataFrame, after: DataFrame, seed: int, inputs: dict[str, str]) -> dict:
+    """What a balanced derivative was made from and holds: the seed, inputs with their digests, rows, and counts by split of assignments, by target and source, and of strategies."""
+    def nested(df: DataFrame, *keys: str) -> dict:
+        out: dict = {}
+        for r in df.groupBy(*keys).count().collect():  # splits times strategies times sources
+            at = out
+            for k in keys[:-1]:
+                at = at.setdefault(r[k], {})
+            at[r[keys[-1]]] = r["count"]
+        return out
+
+    strategies = after.select("split", F.col("final_selection.selected_strategy").alias("strategy"))
+    return {"seed": seed, "inputs": dict(sorted(inputs.items())), "rows": after.count(), "assignments": nested(planned, "split", "target_strategy", "source"), "strategies": nested(strategies, "split", "strategy")}
+
+
 def review_queue(rows: DataFrame, seed: int, share: float = 0.2) -> DataFrame:
     """rows: example_id, split, target_strategy, source. All generated ones, and of the reused ones of a split and strategy the share with the smallest digests, one at least."""
     groups = Window.partitionBy("split", "target_strategy")

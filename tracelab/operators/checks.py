@@ -199,13 +199,15 @@ def response_rules() -> list[Rule]:
 
 
 def registry(models: Sequence[dict], standalone: bool = False) -> list[dict]:
-    """Checks a list of models (model_id, source, splits): unique ids, exactly one teacher unless standalone, then one model that isn't."""
+    """Checks a list of models (model_id, source, splits): unique ids, two at least with exactly one teacher, or, standalone, one model that isn't the teacher."""
     ids = [m["model_id"] for m in models]
     teachers = [m for m in models if m["source"] == "teacher"]
     if len(set(ids)) != len(ids):
         raise ValueError("model ids must be unique")
     if standalone and (len(models) != 1 or teachers):
         raise ValueError("a standalone registry has exactly one model, not the teacher")
+    if not standalone and len(models) < 2:
+        raise ValueError("a registry has at least two models")
     if not standalone and len(teachers) != 1:
         raise ValueError("a registry has exactly one teacher")
     for m in models:

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 
 
-def retention(base: Column, teacher: Column, student: Column, least_gain: float = 0.2) -> Column:
-    """The share of the teacher's gain that the student keeps; null if that gain is too small."""
+def retention(base: Column, teacher: Column, student: Column, least_gain: float = 0.2, strict: bool = False) -> Column:
+    """The share of the teacher's gain that the student keeps; if that gain is too small, null, or with ``strict`` an error where it is read."""
     gain = teacher - base
-    return F.when(gain >= least_gain, (student - base) / gain)
+    small = F.raise_error(F.concat(F.lit(f"the teacher's gain is below {least_gain}: "), gain.cast("string"))).cast("double") if strict else F.lit(None).cast("double")
+    return F.when(gain >= least_gain, (student - base) / gain).otherwise(small)
 
 
 def fidelity(full: DataFrame, ablated: DataFrame) -> DataFrame:
