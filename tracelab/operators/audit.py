@@ -67,7 +67,8 @@ def gates(shares: DataFrame) -> DataFrame:
     return shares.withColumns({"limit": limit, "raised": raised})
 
 
-def collapse_gates(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+def collapse_gates(candidates: DataFrame, texts: DataFrame, functions: DataFrame | None = None) -> DataFrame:
+    """All gates; that of functions (rows as in ``retention``) looks at the one that keeps least."""
     slots = slot_share(candidates)
     parts = [
         strategy_funnel(candidates).agg(F.lit("strategy").alias("gate"), F.max("selected_share").alias("value")),
@@ -75,6 +76,8 @@ def collapse_gates(candidates: DataFrame, texts: DataFrame) -> DataFrame:
         slots.agg(F.lit("slot_gap").alias("gate"), N.round_exact(F.max("share") - F.min("share")).alias("value")),
         top_prefixes(texts.withColumn("_g", F.lit(1)), "_g", 1).agg(F.lit("prefix").alias("gate"), F.max("share").alias("value")),
     ]
+    if functions is not None:
+        parts.append(retention(functions).agg(F.lit("function").alias("gate"), F.min("rate").alias("value")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -106,5 +109,11 @@ def delta_interval(pairs: DataFrame, z: float = 1.96, *group: str) -> DataFrame:
     return own.select(*group, "n", N.round_exact(F.col("_m")).alias("mean"), N.round_exact(F.col("_m") - half).alias("low"), N.round_exact(F.col("_m") + half).alias("high"))
 
 
+def progress_median(targets: DataFrame, rank: str, count: str, *group: str) -> DataFrame:
+    """How far into their dialogues targets lie: the median of rank by count."""
+    at = F.col(rank).cast("double") / F.col(count).cast("double")
+    return targets.groupBy(*group).agg(F.count("*").alias("n"), N.round_exact(F.percentile(at, F.lit(0.5))).alias("median"))
+
+
 def phase_strategies(rows: DataFrame) -> DataFrame:
     return rows.groupBy("phase", "strategy").agg(F.count("*").alias("n"))

@@ -87,6 +87,11 @@ def phase_quota(spark, d):
     return _prepared(spark, d).groupBy("split", "conversation_phase").agg(F.count("*").alias("n"))
 
 
+@query(f"""{_PREPARED} SELECT conversation_phase, count(*) AS n, {rounded("quantile_cont(target_rank::DOUBLE / eligible_target_count, 0.5)")} AS median FROM prepared GROUP BY 1""")
+def target_progress(spark, d):
+    return audit.progress_median(_prepared(spark, d), "target_rank", "eligible_target_count", "conversation_phase")
+
+
 @query(f"""{_PREPARED} SELECT example_id, count(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt
 FROM prepared JOIN turns USING (conversation_id) WHERE turn < target_turn GROUP BY 1""")
 def history_prefix(spark, d):

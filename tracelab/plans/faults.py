@@ -371,6 +371,13 @@ def function_exclusions(spark, d):
     return audit.exclusions(_kept(spark, d))
 
 
+@query("""WITH r AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'STATE' ELSE 'PLAN' END AS f, c_custkey % 3 AS r FROM customer), k AS (SELECT f, cast(format('{:.4f}', count(*) FILTER (r = 0) / count(*)::DOUBLE) AS DOUBLE) AS rate FROM r GROUP BY 1)
+SELECT 'function' AS gate, min(rate) AS value, 0.4::DOUBLE AS "limit", min(rate) < 0.4 AS raised FROM k""")
+def function_gate(spark, d):
+    """The gate of functions, which is raised below its limit."""
+    return audit.collapse_gates(D.candidates(spark, d), D.read(spark, d, "documents"), _kept(spark, d)).where("gate = 'function'")
+
+
 def _kept(spark: SparkSession, d: str) -> DataFrame:
     return customers(spark, d).select(F.when(K % 2 == 0, "STATE").otherwise("PLAN").alias("function"), (K % 3 == 0).alias("kept"), F.when(K % 3 == 1, "short").when(K % 3 == 2, "fenced").alias("reason"))
 

@@ -76,9 +76,10 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     write_jsonl(df, path, "append")
 
 
-def publish_once(df: DataFrame, path: str) -> None:
-    """A Parquet table at path; refuses to replace one."""
-    df.write.mode("errorifexists").parquet(path)
+def publish_once(df: DataFrame, path: str, lines: bool = False) -> None:
+    """A table at path, Parquet or JSON lines; refuses to replace one."""
+    own = df.write.mode("errorifexists").option("ignoreNullFields", False)
+    (own.json if lines else own.parquet)(path)
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
