@@ -17,18 +17,19 @@ from tracelab.schemas import CONTEXT_FIELDS, DIMENSIONS, EVIDENCE_BASES, HISTORY
 from tracelab.sources import records
 from tracelab.sources.staging import shared_folder, staged
 
-K = F.col("c_custkey")
+def custkey() -> Column:
+    return F.col("c_custkey")
 
 
 def customers(spark: SparkSession, d: str) -> DataFrame:
-    return D.read(spark, d, "customer").select("c_custkey", K.cast("string").alias("example_id"))
+    return D.read(spark, d, "customer").select("c_custkey", custkey().cast("string").alias("example_id"))
 
 
 def kind(n: int, *cases: Column, otherwise: Column) -> Column:
     """The case of a customer's number modulo n: the first for 1, and so on."""
     out = otherwise
     for i, c in reversed(list(enumerate(cases, 1))):
-        out = F.when(K % n == i, c).otherwise(out)
+        out = F.when(custkey() % n == i, c).otherwise(out)
     return out
 
 
@@ -58,7 +59,7 @@ def history_breaks(spark, d):
 def patch_breaks(spark, d):
     pair = lambda new: F.array(F.struct(F.col("example_id").alias("old"), new.alias("new")))
     bad, good = pair(F.col("example_id")), pair(F.concat("example_id", F.lit("!")))
-    replace = F.struct(*(F.when((K % 6 == 1) & F.lit(i == 0) | (K % 6 == 2) & F.lit(i == 8) | (K % 6 == 3) & F.lit(i in (4, 7)), bad).otherwise(good).alias(f) for i, f in enumerate(CONTEXT_FIELDS)))
+    replace = F.struct(*(F.when((custkey() % 6 == 1) & F.lit(i == 0) | (custkey() % 6 == 2) & F.lit(i == 8) | (custkey() % 6 == 3) & F.lit(i in (4, 7)), bad).otherwise(good).alias(f) for i, f in enumerate(CONTEXT_FIELDS)))
     return reasons(customers(spark, d).withColumn("patch", F.struct(replace.alias("replace"))), checks.patch_rules("patch", CONTEXT_FIELDS))
 
 
@@ -103,10 +104,10 @@ def prepared_breaks(spark, d):
     rows = customers(spark, d).select(
         "example_id",
         kind(7, F.lit("test"), otherwise=F.lit("train")).alias("split"),
-        F.when(K % 7 == 5, F.lit(None)).otherwise(kind(7, F.lit("early"), F.lit("early"), F.lit("early"), F.lit("late"), otherwise=F.lit("early"))).alias("conversation_phase"),
-        F.when(~(K % 7).isin(2, 5), 2).alias("target_turn"),
-        F.when(K % 7 != 5, kind(7, F.lit(1), F.lit(1), F.lit(7), otherwise=F.lit(2))).alias("target_rank"),
-        F.when(K % 7 != 5, 6).alias("eligible_target_count"),
+        F.when(custkey() % 7 == 5, F.lit(None)).otherwise(kind(7, F.lit("early"), F.lit("early"), F.lit("early"), F.lit("late"), otherwise=F.lit("early"))).alias("conversation_phase"),
+        F.when(~(custkey() % 7).isin(2, 5), 2).alias("target_turn"),
+        F.when(custkey() % 7 != 5, kind(7, F.lit(1), F.lit(1), F.lit(7), otherwise=F.lit(2))).alias("target_rank"),
+        F.when(custkey() % 7 != 5, 6).alias("eligible_target_count"),
     )
     return reasons(rows, checks.prepared_rules())
 
@@ -115,10 +116,10 @@ def prepared_breaks(spark, d):
 WHEN 3 THEN 'turns don''t alternate from the seeker' ELSE 'the last round isn''t complete' END AS reason FROM customer WHERE c_custkey % 6 BETWEEN 1 AND 4""")
 def round_breaks(spark, d):
     at = F.col("turn_index")
-    turns = customers(spark, d).select(K, F.col("example_id").alias("conversation_id"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("turn_index"))
-    turns = turns.where(~((K % 6 == 1) & (at == 3)) & ~((K % 6 == 4) & (at == 6)))
-    round_index = F.ceil(at / 2) + F.when((K % 6 == 2) & (at >= 5), 1).otherwise(0)
-    role = F.when((at % 2 == 1) == ~((K % 6 == 3) & (at == 4)), "seeker").otherwise("supporter")
+    turns = customers(spark, d).select(custkey(), F.col("example_id").alias("conversation_id"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("turn_index"))
+    turns = turns.where(~((custkey() % 6 == 1) & (at == 3)) & ~((custkey() % 6 == 4) & (at == 6)))
+    round_index = F.ceil(at / 2) + F.when((custkey() % 6 == 2) & (at >= 5), 1).otherwise(0)
+    role = F.when((at % 2 == 1) == ~((custkey() % 6 == 3) & (at == 4)), "seeker").otherwise("supporter")
     return checks.round_problems(turns.select("conversation_id", "turn_index", round_index.alias("round_index"), role.alias("role"), F.lit("x").alias("content")))
 
 
@@ -128,23 +129,23 @@ _TERMINAL = ["status is unknown", "a completed conversation must close", "the re
 @query(sql(9, *_TERMINAL))
 def terminal_breaks(spark, d):
     rounds = F.sequence(F.lit(1), F.lit(3))
-    calls = F.transform(F.when(K % 9 == 5, F.slice(rounds, 1, 2)).otherwise(rounds), lambda x: F.struct(F.when((K % 9 == 6) & (x == 2), "teacher").otherwise("seeker_simulator").alias("role")))
+    calls = F.transform(F.when(custkey() % 9 == 5, F.slice(rounds, 1, 2)).otherwise(rounds), lambda x: F.struct(F.when((custkey() % 9 == 6) & (x == 2), "teacher").otherwise("seeker_simulator").alias("role")))
     end = F.struct(
-        F.when(K % 9 == 3, "hard_max_rounds").when(K % 9 == 7, "hard_max_rounds").otherwise("closing").alias("reason"),
-        F.when(K % 9 == 4, 9).otherwise(3).alias("round_count"),
-        F.when(K % 9 == 2, "exploring").when(K % 9 == 7, "exploring").otherwise("closing").alias("final_mode"),
+        F.when(custkey() % 9 == 3, "hard_max_rounds").when(custkey() % 9 == 7, "hard_max_rounds").otherwise("closing").alias("reason"),
+        F.when(custkey() % 9 == 4, 9).otherwise(3).alias("round_count"),
+        F.when(custkey() % 9 == 2, "exploring").when(custkey() % 9 == 7, "exploring").otherwise("closing").alias("final_mode"),
     )
-    status = F.when(K % 9 == 1, "lost").when(K % 9 == 7, "truncated").otherwise("completed")
+    status = F.when(custkey() % 9 == 1, "lost").when(custkey() % 9 == 7, "truncated").otherwise("completed")
     return reasons(customers(spark, d).select("example_id", status.alias("status"), end.alias("termination"), rounds.alias("rounds"), calls.alias("seeker_call_records")), checks.terminal_rules())
 
 
 @query(sql(6, "next_round must follow the last round", "previous_mode differs from the last round's", "last_context differs from the last round's"))
 def checkpoint_breaks(spark, d):
-    rounds = F.transform(F.sequence(F.lit(1), (K % 4 + 1).cast("int")), lambda x: F.struct(F.concat(F.lit("m"), x.cast("string")).alias("mode"), F.concat(F.lit("c"), x.cast("string")).alias("context")))
-    n = (K % 4 + 1).cast("int")
+    rounds = F.transform(F.sequence(F.lit(1), (custkey() % 4 + 1).cast("int")), lambda x: F.struct(F.concat(F.lit("m"), x.cast("string")).alias("mode"), F.concat(F.lit("c"), x.cast("string")).alias("context")))
+    n = (custkey() % 4 + 1).cast("int")
     rows = customers(spark, d).select(
-        "example_id", rounds.alias("rounds"), F.when(K % 6 == 1, n).otherwise(n + 1).alias("next_round"),
-        F.when(K % 6 == 2, "m0").otherwise(F.concat(F.lit("m"), n.cast("string"))).alias("previous_mode"), F.when(K % 6 == 3, "c0").otherwise(F.concat(F.lit("c"), n.cast("string"))).alias("last_context"),
+        "example_id", rounds.alias("rounds"), F.when(custkey() % 6 == 1, n).otherwise(n + 1).alias("next_round"),
+        F.when(custkey() % 6 == 2, "m0").otherwise(F.concat(F.lit("m"), n.cast("string"))).alias("previous_mode"), F.when(custkey() % 6 == 3, "c0").otherwise(F.concat(F.lit("c"), n.cast("string"))).alias("last_context"),
     )
     return reasons(rows, checks.checkpoint_rules())
 
@@ -153,31 +154,31 @@ def checkpoint_breaks(spark, d):
 def response_breaks(spark, d):
     rows = customers(spark, d).select(
         "example_id", kind(6, F.lit("teacher"), F.lit("teacher"), F.lit("base"), F.lit("visible_sft"), F.lit("visible_sft"), otherwise=F.lit("teacher")).alias("response_source"),
-        (K % 6 != 1).alias("reused"), F.when(K % 6 == 2, 7).alias("generation_seed"), F.when(K % 6 == 3, "").otherwise(F.lit("reply")).alias("response"), F.when(K % 6 == 4, "[response]other").otherwise("x[response] reply ").alias("raw_response"),
+        (custkey() % 6 != 1).alias("reused"), F.when(custkey() % 6 == 2, 7).alias("generation_seed"), F.when(custkey() % 6 == 3, "").otherwise(F.lit("reply")).alias("response"), F.when(custkey() % 6 == 4, "[response]other").otherwise("x[response] reply ").alias("raw_response"),
     )
     return reasons(rows, checks.response_rules())
 
 
 @query(sql(6, f"{DIMENSIONS[1]} is out of range", f"{DIMENSIONS[4]} is out of range", "overall differs from the mean of scores", "short_reason is too long"))
 def judgment_breaks(spark, d):
-    score = lambda i: F.when((K % 6 == 1) & F.lit(i == 1), 0).when((K % 6 == 2) & F.lit(i == 4), 6).otherwise(F.lit(1 + i)).cast("int")
-    overall = F.when(K % 6 == 3, 3.2).when(K % 6 == 1, 2.6).when(K % 6 == 2, 3.2).otherwise(3.0)
-    rows = customers(spark, d).select("example_id", F.struct(*(score(i).alias(x) for i, x in enumerate(DIMENSIONS))).alias("scores"), overall.alias("overall"), F.repeat(F.lit("x"), F.when(K % 6 == 4, 501).otherwise(500)).alias("short_reason"))
+    score = lambda i: F.when((custkey() % 6 == 1) & F.lit(i == 1), 0).when((custkey() % 6 == 2) & F.lit(i == 4), 6).otherwise(F.lit(1 + i)).cast("int")
+    overall = F.when(custkey() % 6 == 3, 3.2).when(custkey() % 6 == 1, 2.6).when(custkey() % 6 == 2, 3.2).otherwise(3.0)
+    rows = customers(spark, d).select("example_id", F.struct(*(score(i).alias(x) for i, x in enumerate(DIMENSIONS))).alias("scores"), overall.alias("overall"), F.repeat(F.lit("x"), F.when(custkey() % 6 == 4, 501).otherwise(500)).alias("short_reason"))
     return reasons(rows, checks.judgment_rules())
 
 
 @query(sql(6, "the response is empty", "a structure token occurs in the text", "a structure token occurs in the text", "the example is too long"))
 def encodable_breaks(spark, d):
     ids = lambda n: F.sequence(F.lit(10), F.lit(9) + n)
-    prompt = F.when(K % 6 == 2, F.array(F.lit(5), F.lit(99))).when(K % 6 == 4, ids(F.lit(9))).otherwise(ids(F.lit(8)))
-    response = F.when(K % 6 == 1, F.array().cast("array<int>")).when(K % 6 == 3, F.array(F.lit(98))).otherwise(ids(F.lit(4)))
+    prompt = F.when(custkey() % 6 == 2, F.array(F.lit(5), F.lit(99))).when(custkey() % 6 == 4, ids(F.lit(9))).otherwise(ids(F.lit(8)))
+    response = F.when(custkey() % 6 == 1, F.array().cast("array<int>")).when(custkey() % 6 == 3, F.array(F.lit(98))).otherwise(ids(F.lit(4)))
     rows = customers(spark, d).select("example_id", checks.encodable(prompt, response, 12, (98, 99)).alias("reason"))
     return rows.select("example_id", F.coalesce("reason", F.lit("valid")).alias("reason"))
 
 
 @query("""SELECT c_custkey::VARCHAR AS example_id, c_custkey % 7 <> 3 AS fits FROM customer""")
 def token_budgets(spark, d):
-    words = F.array_join(F.array_repeat(F.lit("w"), F.when(K % 7 == 3, 129).otherwise(128)), " ")
+    words = F.array_join(F.array_repeat(F.lit("w"), F.when(custkey() % 7 == 3, 129).otherwise(128)), " ")
     return customers(spark, d).select("example_id", checks.token_budget(words).alias("fits"))
 
 
@@ -185,15 +186,15 @@ def token_budgets(spark, d):
 FROM customer, (VALUES (0), (3)) AS v(r) WHERE c_custkey % 6 BETWEEN 1 AND 3 AND (r = 0 OR c_custkey % 6 = 3)""")
 def vector_breaks(spark, d):
     half = F.lit(0.5)
-    vector = F.when(K % 6 == 1, F.array(F.lit(0.6), F.lit(0.8))).when(K % 6 == 2, F.array(half, half, half, F.lit(0.6))).otherwise(F.array(half, half, half, half))
-    bank = customers(spark, d).select("example_id", vector.cast("array<float>").alias("vector"), K)
-    return checks.vector_problems(bank.unionByName(bank.where(K % 6 == 3)).drop("c_custkey")).select("example_id", "reason")
+    vector = F.when(custkey() % 6 == 1, F.array(F.lit(0.6), F.lit(0.8))).when(custkey() % 6 == 2, F.array(half, half, half, F.lit(0.6))).otherwise(F.array(half, half, half, half))
+    bank = customers(spark, d).select("example_id", vector.cast("array<float>").alias("vector"), custkey())
+    return checks.vector_problems(bank.unionByName(bank.where(custkey() % 6 == 3)).drop("c_custkey")).select("example_id", "reason")
 
 
 @query("""SELECT c_custkey::VARCHAR AS example_id, CASE c_custkey % 5 WHEN 1 THEN 'extra' WHEN 2 THEN 'turns.mood' WHEN 3 THEN 'extra|turns.mood' ELSE '' END AS paths FROM customer""")
 def unknown_key_paths(spark, d):
-    mood = F.when((K % 5).isin(2, 3), ', "mood": "x"').otherwise("")
-    extra = F.when((K % 5).isin(1, 3), ', "extra": {"a": 1}').otherwise("")
+    mood = F.when((custkey() % 5).isin(2, 3), ', "mood": "x"').otherwise("")
+    extra = F.when((custkey() % 5).isin(1, 3), ', "extra": {"a": 1}').otherwise("")
     raw = F.concat(F.lit('{"turns": [{"role": "seeker", "content": "a"'), mood, F.lit("}]"), extra, F.lit("}"))
     return customers(spark, d).select("example_id", F.array_join(F.array_sort(checks.unknown_keys(raw, HISTORY)), "|").alias("paths"))
 
@@ -237,7 +238,7 @@ def checked_lines(spark, d):
 CASE c_custkey % 3 WHEN 1 THEN 'a' WHEN 2 THEN ' TIE ' END AS preference FROM customer""")
 def annotations_round_trip(spark, d):
     """Review sheets as CSV, with quotes and line ends inside fields, written and read back."""
-    own = D.read(spark, d, "customer").select(K.cast("string").alias("pair_id"), F.lit("train").alias("split"), F.concat(F.lit('say "'), "c_name", F.lit('",\nthen')).alias("response_a"), F.col("c_mktsegment").alias("response_b"), kind(3, F.lit("a"), F.lit(" TIE "), otherwise=F.lit("")).alias("preference"))
+    own = D.read(spark, d, "customer").select(custkey().cast("string").alias("pair_id"), F.lit("train").alias("split"), F.concat(F.lit('say "'), "c_name", F.lit('",\nthen')).alias("response_a"), F.col("c_mktsegment").alias("response_b"), kind(3, F.lit("a"), F.lit(" TIE "), otherwise=F.lit("")).alias("preference"))
     path = f"{shared_folder(spark)}/sheets-{spark.sparkContext.applicationId}-{id(own)}"
     records.write_annotations(own, path)
     return records.read_annotations(spark, path).select("pair_id", "split", "response_a", "response_b", F.nullif("preference", F.lit("")).alias("preference"))
@@ -325,9 +326,9 @@ w AS (SELECT *, p + r + CASE WHEN ended THEN 0 ELSE 1 END AS n FROM b), m AS (SE
 SELECT c_custkey::VARCHAR AS example_id, width AS padded, n AS kept, n - p AS labelled, (width - n) AS pads, CASE WHEN n = width THEN 2 ELSE 0 END::INTEGER AS last_id FROM m""")
 def padded_examples(spark, d):
     """Masked labels, ended with the end mark unless they have it, padded to the longest of a batch."""
-    number = (K % 3).cast("int")
-    response = F.concat(F.array_repeat(F.lit(7), number), F.when(K % 3 == 0, F.array(F.lit(2))).otherwise(F.array(F.lit(7))))
-    rows = customers(spark, d).select(K, "example_id", F.array_repeat(F.lit(5), (K % 4 + 1).cast("int")).alias("prompt_ids"), response.alias("response_ids"))
+    number = (custkey() % 3).cast("int")
+    response = F.concat(F.array_repeat(F.lit(7), number), F.when(custkey() % 3 == 0, F.array(F.lit(2))).otherwise(F.array(F.lit(7))))
+    rows = customers(spark, d).select(custkey(), "example_id", F.array_repeat(F.lit(5), (custkey() % 4 + 1).cast("int")).alias("prompt_ids"), response.alias("response_ids"))
     own = export.encoded(rows, 2).join(rows.select("example_id", F.expr("c_custkey div 8").alias("batch")), "example_id")
     count = lambda c, f: F.size(F.filter(c, f)).cast("long")
     padded = export.padded_batches(own, "batch", 0)
@@ -340,21 +341,21 @@ def padded_examples(spark, d):
 @query("""SELECT 'train' AS split, c_custkey::VARCHAR AS example_id, CASE c_custkey % 5 WHEN 1 THEN 'duplicate quality response' WHEN 2 THEN 'conflicting histories' ELSE 'incomplete response group' END AS problem
 FROM customer WHERE c_custkey % 5 BETWEEN 1 AND 3""")
 def response_group_breaks(spark, d):
-    one = lambda m: customers(spark, d).select(K, F.lit("train").alias("split"), "example_id", F.lit(m).alias("model_id"), F.struct(F.array(turn("seeker", F.when((K % 5 == 2) & F.lit(m == "b"), "other").otherwise("same"))).alias("turns")).alias("history"))
-    rows = one("a").unionByName(one("b").where(K % 5 != 3)).unionByName(one("a").where(K % 5 == 1))
+    one = lambda m: customers(spark, d).select(custkey(), F.lit("train").alias("split"), "example_id", F.lit(m).alias("model_id"), F.struct(F.array(turn("seeker", F.when((custkey() % 5 == 2) & F.lit(m == "b"), "other").otherwise("same"))).alias("turns")).alias("history"))
+    rows = one("a").unionByName(one("b").where(custkey() % 5 != 3)).unionByName(one("a").where(custkey() % 5 == 1))
     return quality.response_problems(rows.drop("c_custkey"))
 
 
 @query("""SELECT 'pair-' || lpad(c_custkey::VARCHAR, 6, '0') AS pair_id FROM customer WHERE c_custkey % 4 = 1""")
 def unknown_annotations(spark, d):
-    names = customers(spark, d).select(K, F.format_string("pair-%06d", K).alias("pair_id"))
-    return quality.unknown_pairs(names, names.where(K % 4 != 1)).select("pair_id")
+    names = customers(spark, d).select(custkey(), F.format_string("pair-%06d", custkey()).alias("pair_id"))
+    return quality.unknown_pairs(names, names.where(custkey() % 4 != 1)).select("pair_id")
 
 
 @query("""SELECT example_id, CASE WHEN k % 5 IN (1, 2) THEN NULL ELSE k::VARCHAR END AS profile, CASE WHEN k % 5 IN (1, 2) THEN 'input-index-' || k END AS failed FROM (SELECT c_custkey::VARCHAR AS example_id, c_custkey AS k FROM customer)""")
 def profile_failures(spark, d):
     """Profiles with and without a usable id; a failure is known by its place."""
-    own = customers(spark, d).select("example_id", kind(5, F.lit(" "), F.lit(None), otherwise=F.col("example_id")).alias("ID"), K.alias("input_index"))
+    own = customers(spark, d).select("example_id", kind(5, F.lit(" "), F.lit(None), otherwise=F.col("example_id")).alias("ID"), custkey().alias("input_index"))
     good, failed = dialogue.adapt_profiles(own)
     ids = failed.select(F.col("conversation_id").alias("failed"), F.substring("conversation_id", len("input-index-") + 1, 20).alias("example_id"), F.lit(None).cast("string").alias("profile"))
     return good.select("example_id", F.col("profile_id").alias("profile"), F.lit(None).cast("string").alias("failed")).unionByName(ids)
@@ -379,7 +380,7 @@ def function_gate(spark, d):
 
 
 def _kept(spark: SparkSession, d: str) -> DataFrame:
-    return customers(spark, d).select(F.when(K % 2 == 0, "STATE").otherwise("PLAN").alias("function"), (K % 3 == 0).alias("kept"), F.when(K % 3 == 1, "short").when(K % 3 == 2, "fenced").alias("reason"))
+    return customers(spark, d).select(F.when(custkey() % 2 == 0, "STATE").otherwise("PLAN").alias("function"), (custkey() % 3 == 0).alias("kept"), F.when(custkey() % 3 == 1, "short").when(custkey() % 3 == 2, "fenced").alias("reason"))
 
 
 # Statistics
@@ -403,28 +404,28 @@ r AS (SELECT run, epoch, metric, i, true AS improved, 0::BIGINT AS bad, metric A
 UNION ALL SELECT m.run, m.epoch, m.metric, m.i, m.metric < r.best, CASE WHEN m.metric < r.best THEN 0 ELSE r.bad + 1 END, least(r.best, m.metric) FROM r JOIN m ON m.run = r.run AND m.i = r.i + 1)
 SELECT run, epoch, improved, bad AS bad_epochs, bad >= 2 AS stops FROM r""")
 def early_stops(spark, d):
-    metrics = D.read(spark, d, "customer").select(F.col("c_nationkey").alias("run"), K.alias("epoch"), (K * 7 % 11).alias("metric"))
+    metrics = D.read(spark, d, "customer").select(F.col("c_nationkey").alias("run"), custkey().alias("epoch"), (custkey() * 7 % 11).alias("metric"))
     return stats.early_stopping(metrics, 2, "run").select("run", "epoch", "improved", F.col("bad_epochs").cast("long").alias("bad_epochs"), "stops")
 
 
 @query("""SELECT c_custkey::VARCHAR AS example_id, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE (c_custkey % 8 / 8.0 - 0.25)::DOUBLE / 0.5 END AS retention, (c_custkey % 8 / 8.0 + 2 * 0.5)::DOUBLE + CASE WHEN c_custkey % 2 = 0 THEN 1.0 ELSE 0.0 END AS loss FROM customer""")
 def retentions(spark, d):
     """The share of a gain that is kept (null where the gain is too small), and losses with and without a response."""
-    student = (K % 8) / 8.0
-    gain = F.when(K % 4 == 0, 0.375).otherwise(0.75)
+    student = (custkey() % 8) / 8.0
+    gain = F.when(custkey() % 4 == 0, 0.375).otherwise(0.75)
     kept = stats.retention(F.lit(0.25), gain, student)
-    loss = F.when(K % 2 == 0, stats.combined_loss(student, F.lit(0.5), F.lit(1.0), plan_weight=2.0)).otherwise(stats.combined_loss(student, F.lit(0.5), plan_weight=2.0))
+    loss = F.when(custkey() % 2 == 0, stats.combined_loss(student, F.lit(0.5), F.lit(1.0), plan_weight=2.0)).otherwise(stats.combined_loss(student, F.lit(0.5), plan_weight=2.0))
     return customers(spark, d).select("example_id", kept.alias("retention"), loss.alias("loss"))
 
 
 @query("""SELECT sum((c_custkey % 8) / 8.0 * (c_custkey % 5))::DOUBLE / sum(c_custkey % 5) AS loss FROM customer""")
 def weighted_losses(spark, d):
-    return stats.weighted_loss(customers(spark, d).select(((K % 8) / 8.0).alias("loss"), (K % 5).alias("n")))
+    return stats.weighted_loss(customers(spark, d).select(((custkey() % 8) / 8.0).alias("loss"), (custkey() % 5).alias("n")))
 
 
 @query("""SELECT sum(c_custkey)::BIGINT AS total, sum(CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE 0 END)::BIGINT AS trainable, sum(CASE WHEN c_custkey % 4 = 1 THEN c_custkey ELSE 0 END)::BIGINT AS adapter FROM customer""")
 def parameter_counts(spark, d):
-    return stats.parameters(customers(spark, d).select(F.when(K % 4 == 1, "x.lora_A").otherwise("x.weight").alias("name"), K.alias("numel"), (K % 3 == 0).alias("trainable")))
+    return stats.parameters(customers(spark, d).select(F.when(custkey() % 4 == 1, "x.lora_A").otherwise("x.weight").alias("name"), custkey().alias("numel"), (custkey() % 3 == 0).alias("trainable")))
 
 
 @query("""SELECT c.vec_id::VARCHAR AS example_id, len(c.embedding)::INTEGER AS width, c.vec_id % 2 = 0 AS doubled FROM embeddings c WHERE c.vec_id % 3 = 0""")
@@ -446,6 +447,6 @@ def reply_kinds(spark, d):
     own = F.concat(F.lit('{"a": '), F.col("example_id"), F.lit("}"))
     text = kind(5, F.concat(F.lit("so\n```json\n"), own, F.lit("\n```")), F.concat(F.lit("{"), own), F.lit("plain words"), F.lit("plain words"), otherwise=own)
     none = F.lit("{" + ", ".join(f'"{f}": []' for f in CONTEXT_FIELDS) + "}")
-    patch = F.concat(F.lit('{"add": '), none, F.lit(', "replace": '), none, F.when(K % 5 == 2, F.lit("}")).otherwise(F.concat(F.lit(', "remove": '), none, F.lit("}"))))
-    attempt = F.when(K % 5 == 4, 2).otherwise(1)
+    patch = F.concat(F.lit('{"add": '), none, F.lit(', "replace": '), none, F.when(custkey() % 5 == 2, F.lit("}")).otherwise(F.concat(F.lit(', "remove": '), none, F.lit("}"))))
+    attempt = F.when(custkey() % 5 == 4, 2).otherwise(1)
     return customers(spark, d).select("example_id", X.reply_kind(text, attempt).alias("reply_kind"), X.fenced_payload(text).alias("payload"), context.read_patch(patch)["error"].alias("patch_error"))
