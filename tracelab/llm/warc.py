@@ -225,7 +225,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema, strict=False)], names=names[:6])
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    records = S.written(files.mapInArrow(parse, RECORD), "warc-records")
+    records = S.written(files.mapInArrow(parse, RECORD), "warc-records", "zstd")
     complete = records.where("origin IS NULL").select(*names[:6])
     part = F.struct("number", "total", "block")
     segmented = records.where("origin IS NOT NULL").groupBy("origin").agg(F.max("page_id").alias("page_id"), F.max("payload_digest").alias("payload_digest"), F.collect_list(part).alias("parts"))
