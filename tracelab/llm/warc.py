@@ -212,24 +212,36 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 for at in range(0, len(rows), 4000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 4000], strict=True), schema, strict=True)], names=names)
 
+    def reassembled(rows: list[tuple]) -> tuple:
+        """Of the rows of one origin, in order of their numbers: page, digest, number, total, part."""
+        page, sha = rows[0][0], rows[0][1]
+        fields = {"x-page-id": NONE_ID if page is None else str(page), "warc-payload-digest": sha or "", "warc-type": "response"}
+        try:
+            return _content(fields, joined_segments([x[2:] for x in rows]))
+        except ValueError as why:
+            return page, None, sha, "response", None, str(why)
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, []  # the origin whose rows still come
         for b in batches:
-            rows = []
-            for page, sha, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                fields = {"x-page-id": NONE_ID if page is None else str(page), "warc-payload-digest": sha or "", "warc-type": "response"}
-                try:
-                    rows.append(_content(fields, joined_segments([(p["number"], p["total"], p["block"]) for p in parts])))
-                except ValueError as why:
-                    rows.append((page, None, sha, "response", None, str(why)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema, strict=False)], names=names[:6])
+            out = []
+            for origin, *x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if own and origin != last:
+                    out.append(reassembled(own))
+                    own = []
+                last = origin
+                own.append(tuple(x))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema, strict=False)], names=names[:6])
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(reassembled(own), schema, strict=False)], names=names[:6])
 
     files = spark.read.format("binaryFile").load(path).select("content")
     records = S.written(files.mapInArrow(parse, RECORD), "warc-records", "zstd")
     complete = records.where("origin IS NULL").select(*names[:6])
-    part = F.struct("number", "total", "block")
-    segmented = records.where("origin IS NOT NULL").groupBy("origin").agg(F.max("page_id").alias("page_id"), F.max("payload_digest").alias("payload_digest"), F.collect_list(part).alias("parts"))
-    return complete.unionByName(segmented.select("page_id", "payload_digest", "parts").mapInArrow(whole, CONTENT))
+    segments = records.where("origin IS NOT NULL").select("origin", "page_id", "payload_digest", "number", "total", "block")
+    in_order = segments.repartition("origin").sortWithinPartitions("origin", "number")
+    return complete.unionByName(in_order.mapInArrow(whole, CONTENT))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
