@@ -124,6 +124,17 @@ def at_blanks(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(_BLANK[data])
 
 
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts (null: empty), one after another, and where each begins and the last one ends."""
+    column = pc.fill_null(column.cast(pa.string()), "")
+    if not len(column):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    _, where, raw = column.buffers()
+    offsets = np.frombuffer(where, np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
 def stretched(column: pa.Array, begin: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The texts of column cut into stretches: the different ones, for each stretch which it is, and how many stretches end before each row and the last one's end."""
     column = pc.fill_null(column.cast(pa.string()), "")
