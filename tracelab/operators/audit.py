@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelab.functions import numbers as N
 from tracelab.functions import text as X
+from tracelab.operators.selection import quantiles
 from tracelab.schemas import SOURCE_STRATEGY, STATE_FIELDS
 
 # Shares above (or, for functions, below) which a gate is raised.
@@ -93,8 +94,11 @@ def state_rates(traces: DataFrame, strategy: str = SOURCE_STRATEGY) -> DataFrame
 
 
 def distribution(df: DataFrame, value: str, *group: str) -> DataFrame:
-    p = lambda q: F.percentile(value, F.lit(q))
-    return df.groupBy(*group).agg(F.count("*").alias("n"), F.min(value).alias("min"), p(0.05).alias("p05"), p(0.5).alias("median"), p(0.95).alias("p95"), F.max(value).alias("max"), N.round_exact(F.sum(value).cast("double") / F.count("*").cast("double")).alias("mean"))
+    """Rows, least and largest value, mean and three exact quantiles, by histograms that are refined. Rows whose value is null count in none of these."""
+    kind = df.schema[value].dataType
+    own = quantiles(df, F.col(value), (0.05, 0.5, 0.95), *group)
+    p = [F.col("quantiles")[i].alias(c) for i, c in enumerate(("p05", "median", "p95"))]
+    return own.select(*group, "n", F.col("min").cast(kind).alias("min"), *p, F.col("max").cast(kind).alias("max"), N.round_exact(F.try_divide(F.col("sum"), F.col("n").cast("double"))).alias("mean"))
 
 
 def mean_words(texts: DataFrame, group: str) -> DataFrame:
@@ -112,7 +116,8 @@ def delta_interval(pairs: DataFrame, z: float = 1.96, *group: str) -> DataFrame:
 def progress_median(targets: DataFrame, rank: str, count: str, *group: str) -> DataFrame:
     """How far into their dialogues targets lie: the median of rank by count."""
     at = F.col(rank).cast("double") / F.col(count).cast("double")
-    return targets.groupBy(*group).agg(F.count("*").alias("n"), N.round_exact(F.percentile(at, F.lit(0.5))).alias("median"))
+    own = quantiles(targets, at, (0.5,), *group)
+    return own.select(*group, "n", N.round_exact(F.col("quantiles")[0]).alias("median"))
 
 
 def phase_strategies(rows: DataFrame) -> DataFrame:

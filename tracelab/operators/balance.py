@@ -1,7 +1,7 @@
 """A derivative with exact quotas of strategies: planned, applied, checked and put up for review.
 
 A quota is shared over strata in proportion, whole numbers first, what is left to the largest remainders; within a stratum the rows with
-the smallest digests are taken. All splits are planned together, as partitions of each step.
+the smallest digests are taken, found by histograms of digests. All splits are planned together, as partitions of each step.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelab.functions import numbers as N
+from tracelab.operators.selection import k_smallest, smallest_share
 from tracelab.operators.traces import selection_of
 from tracelab.schemas import QUOTAS, SOURCE_STRATEGY, TARGET_STRATEGIES
 from tracelab.sources.staging import staged
@@ -33,15 +34,15 @@ def stratum(phase: Column, emotion: Column, distress: Column) -> Column:
 
 
 def allocate(rows: DataFrame, quota: Column, rank: Column, group: str = "split") -> DataFrame:
-    """rows: group, stratum, example_id. Those that a group's quota takes. Sizes of strata are aggregated first; only within a stratum are rows numbered."""
+    """rows: group, stratum, example_id; rank: a hex digest. Those that a group's quota takes. Sizes of strata are aggregated first, and a stratum's share is then found by histograms of
+    its digests, so that a stratum may hold all rows."""
     sizes = rows.withColumn("_q", quota).groupBy(group, "stratum").agg(F.count("*").alias("_n"), F.max("_q").alias("_q"))
     over = Window.partitionBy(group)
     shares = sizes.withColumn("_all", F.sum("_n").over(over))
     shares = shares.withColumn("_q", F.least("_q", "_all")).withColumns({"_base": F.expr("(_q * _n) div _all"), "_rest": F.col("_q") * F.col("_n") % F.col("_all")})
     left = F.col("_q") - F.sum("_base").over(over)
-    shares = shares.withColumn("_k", F.col("_base") + (F.row_number().over(over.orderBy(F.desc("_rest"), "stratum")) <= left).cast("int")).where("_k > 0").select(group, "stratum", "_k")
-    within = Window.partitionBy(group, "stratum").orderBy(rank, "example_id")
-    return rows.join(shares, [group, "stratum"]).withColumn("_at", F.row_number().over(within)).where("_at <= _k").drop("_at", "_k")
+    shares = shares.withColumn("_k", F.col("_base") + (F.row_number().over(over.orderBy(F.desc("_rest"), "stratum")) <= left).cast("int")).where("_k > 0").select(group, "stratum", "_k", "_n")
+    return k_smallest(rows, [group, "stratum"], shares, rank, "example_id")
 
 
 def plan(traces: DataFrame, seed: int, quotas: Mapping[str, Mapping[str, int]] = QUOTAS, targets=TARGET_STRATEGIES, source: str = SOURCE_STRATEGY) -> DataFrame:
@@ -130,10 +131,7 @@ def derivative_manifest(planned: DataFrame, after: DataFrame, seed: int, inputs:
 
 def review_queue(rows: DataFrame, seed: int, share: float = 0.2) -> DataFrame:
     """rows: example_id, split, target_strategy, source. All generated ones, and of the reused ones of a split and strategy the share with the smallest digests, one at least."""
-    groups = Window.partitionBy("split", "target_strategy")
-    at = F.row_number().over(groups.orderBy(N.digest(seed, "review", F.col("example_id")), "example_id"))
-    many = F.greatest(F.lit(1), F.rint(F.count("*").over(groups) * F.lit(share)))
-    reused = rows.where("source = 'reuse'").withColumns({"_at": at, "_k": many}).where("_at <= _k").drop("_at", "_k")
+    reused = smallest_share(rows.where("source = 'reuse'"), ["split", "target_strategy"], share, N.digest(seed, "review", F.col("example_id")), "example_id")
     return rows.where("source = 'generate'").unionByName(reused)
 
 
