@@ -20,11 +20,11 @@ def _spark() -> SparkSession:
 
 def validate(a: argparse.Namespace) -> int:
     rules = [*checks.history_rules(), *checks.plan_rules(), *checks.trace_rules()]
-    valid, rejected = records.read_checked(_spark(), a.inputs[0], TRACE, rules)
-    print(json.dumps({"valid": valid.count(), "rejected": rejected.count()}))
+    _, rejected, counts = records.read_counted(_spark(), a.inputs[0], TRACE, rules)
+    print(json.dumps(counts))
     if a.out:
         records.write_jsonl(rejected, a.out)
-    return int(not rejected.isEmpty())
+    return int(counts["rejected"] > 0)
 
 
 def prepare(a: argparse.Namespace) -> int:

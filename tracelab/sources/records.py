@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from tracelab.operators.checks import Rule, first_problem, require_unique, unknown_keys
 from tracelab.schemas import ANNOTATION, PREPARED, PREPARED_PROTOCOLS, SPLITS
+from tracelab.sources.progress import observed
+from tracelab.sources.staging import staged
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -51,19 +53,32 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return read_json(spark, path, schema)
 
 
-def read_checked(spark: SparkSession, path: str, schema: T.StructType, rules: Sequence[Rule] = ()) -> tuple[DataFrame, DataFrame]:
-    """Rows of JSON lines that fit a schema, with no unknown key at any depth, and keep rules; and rejects: path, line, raw, reason.
-
-    A line's number is its place among its file's lines, from a window over the file."""
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_at"))
-    lines = text.withColumn("line", F.row_number().over(Window.partitionBy("path").orderBy("_at"))).where(F.length(F.trim("value")) > 0)
-    row = F.from_json("value", schema, {"mode": "PERMISSIVE"})
-    unknown = unknown_keys(F.col("value"), schema)
-    parsed = lines.select("path", "line", F.col("value").alias("raw"), row.alias("row"), unknown.alias("_unknown"), F.try_parse_json("value").isNull().alias("_broken"))
-    wide = parsed.select("path", "line", "raw", "_unknown", "_broken", "row.*")
+def read_counted(spark: SparkSession, path: str, schema: T.StructType, rules: Sequence[Rule] = ()) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Rows of JSON lines that fit a schema, with no unknown key at any depth, and keep rules; rejects: path, line, raw, reason; and how many of each there are.
+
+    A file is read in the ranges of bytes that Spark splits it into, each a task's, and written once, with its range and place there. A reject's line is its place in its range and the
+    lines of the ranges before it, which are a row each: no task sees a whole file. The counts come from that one pass. Blank lines count as lines."""
+    text = spark.read.text(path).select(F.col("value").alias("_value"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    blank = F.length(F.trim("_value")) == 0
+    parsed = text.select("*", F.from_json("_value", schema, {"mode": "PERMISSIVE"}).alias("_row"), unknown_keys(F.col("_value"), schema).alias("_unknown"), F.try_parse_json("_value").isNull().alias("_broken"))
+    wide = parsed.select("_path", "_block", "_at", "_value", "_unknown", "_broken", "_row.*")
     reason = F.when(F.col("_broken"), F.lit("not JSON")).when(F.size("_unknown") > 0, F.concat(F.lit("unknown key "), F.col("_unknown")[0]))
-    marked = wide.withColumn("reason", F.coalesce(reason, first_problem(rules)))
-    return marked.where("reason IS NULL").select(*schema.names), marked.where("reason IS NOT NULL").select("path", "line", "raw", "reason")
+    marked = wide.withColumn("_reason", F.when(~blank, F.coalesce(reason, first_problem(rules)))).withColumn("_blank", blank)
+    raw = F.when(F.col("_reason").isNotNull(), F.col("_value"))
+    good = ~F.col("_blank") & F.col("_reason").isNull()
+    seen, counts = observed(marked.select("_path", "_block", "_at", "_blank", "_reason", raw.alias("_raw"), *schema.names), valid=F.count_if(good), rejected=F.count_if(F.col("_reason").isNotNull()))
+    rows = staged(seen, "checked")
+    ranges = rows.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row for each range of a file
+    before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("_path", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    line = F.col("_before") + F.col("_at") - F.col("_first") + 1
+    rejected = rows.where("_reason IS NOT NULL").join(F.broadcast(starts), ["_path", "_block"])
+    return rows.where(good).select(*schema.names), rejected.select(F.col("_path").alias("path"), line.alias("line"), F.col("_raw").alias("raw"), F.col("_reason").alias("reason")), counts()
+
+
+def read_checked(spark: SparkSession, path: str, schema: T.StructType, rules: Sequence[Rule] = ()) -> tuple[DataFrame, DataFrame]:
+    """``read_counted`` without the counts."""
+    return read_counted(spark, path, schema, rules)[:2]
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", order: Sequence[str] = ()) -> None:
