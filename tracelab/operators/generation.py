@@ -70,8 +70,8 @@ def generate(profiles: DataFrame, factory: Callable[[], Backend], limits: tuple[
     return own.select(F.col("conversation_id").cast("string"), "rounds").mapInArrow(run, CONVERSATION)
 
 
-def responses(traces: DataFrame, models: list[dict], factory: Callable[[], Backend]) -> tuple[DataFrame, DataFrame]:
-    """traces: split, example_id, prompt, final_response. A reply for each model (the teacher's is reused), and failures."""
+def responses(traces: DataFrame, models: list[dict], factory: Callable[[], Backend], asked_by: Callable[..., DataFrame] = call) -> tuple[DataFrame, DataFrame]:
+    """traces: split, example_id, prompt, final_response. A reply for each model (the teacher's is reused), and failures. asked_by: what makes the calls, ``call`` or one with a cache."""
     base = traces.select("split", "example_id", "prompt", "final_response")
     done = failed = None
     for m in models:
@@ -82,7 +82,7 @@ def responses(traces: DataFrame, models: list[dict], factory: Callable[[], Backe
         else:
             key = F.to_json(F.array("split", "example_id"))
             asked = own.select(key.alias("request_id"), F.lit(m["model_id"]).alias("role"), F.to_json(F.array("prompt")).alias("messages"), F.lit(m.get("seed")).cast("long").alias("seed"))
-            got = own.withColumn("request_id", key).join(call(asked, factory, namespace=m["model_id"]), "request_id").withColumn("response", F.get_json_object("reply", "$.text"))
+            got = own.withColumn("request_id", key).join(asked_by(asked, factory, namespace=m["model_id"]), "request_id").withColumn("response", F.get_json_object("reply", "$.text"))
             some = F.coalesce(F.length(F.trim("response")) > 0, F.lit(False))
             good = got.where(some).select("split", "example_id", "model_id", "response", F.lit(False).alias("reused"))
             bad = got.where(~some).select("split", "example_id", "model_id", F.coalesce("error", F.lit("empty response")).alias("error"))

@@ -67,13 +67,13 @@ def call(requests: DataFrame, factory: Callable[[], Backend], cache: DataFrame |
     return made if found is None else made.unionByName(found.withColumn("request_id", F.col("request_id").cast("string")))
 
 
-def judged(responses: DataFrame, factory: Callable[[], Backend]) -> tuple[DataFrame, DataFrame]:
+def judged(responses: DataFrame, factory: Callable[[], Backend], seed: int | None = None, asked_by: Callable[..., DataFrame] = call) -> tuple[DataFrame, DataFrame]:
     """responses: split, example_id, model_id, response. Judgments (five scores) and failures."""
     from tracelab.schemas import DIMENSIONS
 
     key = F.to_json(F.array("split", "example_id", "model_id"))
-    asked = responses.withColumn("request_id", key).select("request_id", F.lit("judge").alias("role"), F.to_json(F.struct("response")).alias("messages"), F.lit(None).cast("long").alias("seed"))
-    got = call(asked, factory).withColumn("s", F.from_json("reply", "scores array<int>")["scores"])
+    asked = responses.withColumn("request_id", key).select("request_id", F.lit("judge").alias("role"), F.to_json(F.struct("response")).alias("messages"), F.lit(seed).cast("long").alias("seed"))
+    got = asked_by(asked, factory).withColumn("s", F.from_json("reply", "scores array<int>")["scores"])
     ok = (F.size("s") == len(DIMENSIONS)) & F.forall("s", lambda x: x.between(1, 5))
     whole = responses.withColumn("request_id", key).join(got.withColumn("_ok", F.coalesce(ok, F.lit(False))), "request_id")
     scores = [F.col("s")[i].alias(d) for i, d in enumerate(DIMENSIONS)]
