@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelab.llm import _shared as S
@@ -103,15 +103,14 @@ def neighbours(docs: DataFrame, ranges: int) -> DataFrame:
 
     The last row of a slot is a copy of the first of the next slot, of the first of all at the end."""
     cuts = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else []
+    held = docs.sparkSession.sparkContext.broadcast(np.array(cuts, np.int64))  # 8 bytes a range
 
-    def above(low: int, high: int) -> Column:
-        """How many cuts are not above doc_id, between low and high of them, by halving."""
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col("doc_id") >= cuts[middle], above(middle + 1, high)).otherwise(above(low, middle))
+    @F.arrow_udf("int")
+    def above(ids: pa.Array) -> pa.Array:
+        """How many cuts are not above each id; only ids go to Python."""
+        return pa.array(np.searchsorted(held.value, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right").astype(np.int32))
 
-    slotted = docs.withColumn("slot", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(above(0, len(cuts))).cast("int")).withColumn("copy", F.lit(0))
+    slotted = docs.withColumn("slot", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(above("doc_id"))).withColumn("copy", F.lit(0))
     tops = {r["slot"]: r["top"] for r in slotted.groupBy("slot").agg(F.max("doc_id").alias("top")).collect()}  # a row for each range
     order = sorted(tops, reverse=True)
     if not order:
