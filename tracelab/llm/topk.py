@@ -1,7 +1,7 @@
 """Exact top-k search by inner product over KD-trees, one for each shard.
 
 Shards are dealt by space: a bounded sample of vectors is split at medians of the coordinate with the widest extent until there are enough parts, and every vector goes to the part
-that it falls into. A shard's bounding box is taken from all its vectors. A query first goes to the shard whose box allows it the highest score; the kth score found there goes
+that it falls into; where one part is enough nothing is dealt or routed. A shard's bounding box is taken from all its vectors. A query first goes to the shard whose box allows it the highest score; the kth score found there goes
 with it to those other shards whose boxes allow as much, and to no others. Where many queries come to a shard they are cut into groups of about ``BLOCK_ROWS``, and each group meets the
 shard in a task of its own.
 
@@ -209,9 +209,14 @@ def by_length(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[
             yield own, dim, _matrix(own, column, dim)
 
 
-def dealt(vectors: DataFrame, shard_rows: int) -> DataFrame:
+def lengths(vectors: DataFrame) -> dict[int, int]:
+    """How many vectors have each length."""
+    return {r["dim"]: r["count"] for r in vectors.groupBy("dim").count().collect()}  # a row for each length
+
+
+def dealt(vectors: DataFrame, shard_rows: int, counts: dict[int, int] | None = None) -> DataFrame:
     """vectors (vec_id, code, dim) with their shard, in a written table."""
-    counts = {r["dim"]: r["count"] for r in vectors.groupBy("dim").count().collect()}  # a row for each length
+    counts = lengths(vectors) if counts is None else counts
     share = F.coalesce(*(F.when(F.col("dim") == d, F.lit(min(1.0, SAMPLE / n))) for d, n in counts.items()), F.lit(1.0))
     drawn = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(1 << 20)) < share * (1 << 20)).select("dim", "code").collect()  # about SAMPLE of each length
     splits = {d: Splits(np.array([r["code"] for r in drawn if r["dim"] == d], np.float64).reshape(-1, d), min(SHARDS, max(1, math.ceil(n / shard_rows)))) for d, n in counts.items()}
@@ -270,7 +275,7 @@ def routed(queries: DataFrame, held, home: bool) -> DataFrame:
 
 
 def searched(shards: DataFrame, asked: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """asked: routed queries with ``floor``, a written table. What each query finds in its shards."""
+    """asked: routed queries with ``floor``, read twice. What each query finds in its shards."""
     groups = asked.groupBy("dim", "shard").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("groups"))  # a row for each shard, at most SHARDS of a length
     groups = S.written(groups, "topk-groups")
     one, two = (F.broadcast(groups.select("dim", "shard", F.col("groups").alias(x))) for x in ("_of_vectors", "_of_queries"))
@@ -286,7 +291,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = SH
     queries = vectors.where(is_query).dropDuplicates(["vec_id", "code"]).select(F.col("vec_id").alias("query_id"), F.col("code").alias("asked"), F.size("code").alias("dim"), F.xxhash64("code").alias("query_code"))
     same_row, same = Window.partitionBy("code", "vec_id").orderBy("dim"), Window.partitionBy("code").orderBy("vec_id")
     few = vectors.withColumn("_n", F.row_number().over(same_row)).where(F.col("_n") <= k).withColumn("_n", F.dense_rank().over(same)).where(F.col("_n") <= k + 1).drop("_n")
-    shards = dealt(S.written(few, "topk-few"), shard_rows)
+    few = S.written(few, "topk-few")
+    counts = lengths(few)
+    if max(counts.values(), default=0) <= shard_rows:  # one shard of each length: nothing to route
+        asked = queries.select("query_id", "query_code", "asked", "dim", F.lit(0).alias("shard"), F.lit(None).cast("long").alias("floor"))
+        return _best(searched(few.withColumn("shard", F.lit(0)), asked, k, block_rows), k).select("query_id", "rank", "vec_id", "score")
+    shards = dealt(few, shard_rows, counts)
     held = vectors.sparkSession.sparkContext.broadcast(boxes(shards))
     first = S.written(routed(queries, held, True).withColumn("floor", F.lit(None).cast("long")), "topk-home")
     found = S.written(searched(shards, first, k, block_rows), "topk-first")
