@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from tracelab.plans import catalogue, faults, features, registry  # noqa: F401
+from tracelab.plans import catalogue, faults, features, registry, rules  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -12,6 +12,7 @@ from tracelab.operators import traces as T
 from tracelab.plans import tables as D
 from tracelab.plans.registry import query
 from tracelab.schemas import DIMENSIONS, QUOTAS, SOURCE_STRATEGY, STATE_FIELDS, TARGET_STRATEGIES
+from tracelab.sources.staging import numbered
 
 def rounded(x: str, places: int = 4) -> str:
     return f"cast(format('{{:.{places}f}}', {x}) AS DOUBLE)"
@@ -549,9 +550,13 @@ def contrastive_loss(spark, d):
     return out.select("example_id", N.round_exact(F.col("cosine"), 6).alias("cosine"), N.round_exact(F.col("cross_entropy"), 6).alias("cross_entropy"))
 
 
-@query(f"""SELECT step, {rounded("CASE WHEN step < 100 THEN (step + 1) / 100.0::DOUBLE WHEN step >= 1000 THEN 0 ELSE 0.5 * (1 + cos(pi() * ((step - 100) / 900.0::DOUBLE))) END", 6)} AS factor FROM (SELECT unnest(range(1100)) AS step)""")
+@query(f"""WITH n AS (SELECT count(*) - 50 AS total FROM events), s AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS step FROM events)
+SELECT step, {rounded("CASE WHEN step < 100 THEN (step + 1) / 100.0::DOUBLE WHEN step >= total THEN 0 ELSE 0.5 * (1 + cos(pi() * ((step - 100) / (total - 100)::DOUBLE))) END", 6)} AS factor FROM s, n""")
 def lr_schedule(spark, d):
-    return spark.range(1100).select(F.col("id").alias("step"), N.round_exact(N.learning_factor(F.col("id"), 100, 1000), 6).alias("factor"))
+    """The factor of each event, as a step in the order of ids; the schedule ends 50 steps before the last."""
+    own = numbered(D.read(spark, d, "events").select("event_id"), ["event_id"], "at").select((F.col("at") - 1).alias("step"))
+    total = own.count() - 50
+    return own.select("step", N.round_exact(N.learning_factor(F.col("step"), 100, total), 6).alias("factor"))
 
 
 _MONTHS = "m AS (SELECT (year(o_orderdate) * 12 + month(o_orderdate))::BIGINT AS epoch, count(*) AS metric FROM orders GROUP BY 1)"
