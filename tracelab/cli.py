@@ -9,9 +9,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelab.operators import balance, checks, dialogue, export, generation, preparation, quality, rounds, traces
+from tracelab.operators import balance, checks, dialogue, export, generation, preparation, quality, rounds, teacher, traces
 from tracelab.schemas import DIALOGUE, DIMENSIONS, JUDGMENT, PREPARED, QUOTAS, RESPONSE, TRACE
-from tracelab.sources import backends, configs, control, memo, records
+from tracelab.sources import backends, configs, control, memo, published, records
 from tracelab.sources.backends import call
 from tracelab.sources.staging import staged
 
@@ -93,7 +93,8 @@ def balanced(a: argparse.Namespace) -> int:
     """Traces with their selections moved by the assignment plan, and a manifest beside them; refuses if the input changed meanwhile.
 
     Assignments that no candidate serves are made by the backend of a config that has ``backend``. Without one they stay undone: the manifest and the output count them as ``unmade``."""
-    spark, digests = _spark(), {p: control.file_digest(p) for p in a.inputs}
+    spark = _spark()
+    digests = {p: published.text_digest(spark, p) for p in a.inputs}
     own = records.read_records(spark, a.inputs[0], TRACE)
     stratum = F.concat_ws("\0", "state.dominant_emotion", "state.distress_level")
     choices = F.transform("candidates", lambda c: F.struct(c["candidate_id"].alias("candidate_id"), c["strategy"].alias("strategy")))
@@ -109,7 +110,7 @@ def balanced(a: argparse.Namespace) -> int:
         raise ValueError(f"the derivative is wrong: {[tuple(r) for r in bad]}")
     unmade = {f"{r['split']}/{r['target_strategy']}": r["count"] for r in ([] if a.config else made.groupBy("split", "target_strategy").count().collect())}  # splits times strategies
     records.write_jsonl(after, a.out)
-    if changed := control.unchanged(digests):
+    if changed := [p for p, d in digests.items() if published.text_digest(spark, p) != d]:
         raise ValueError(f"changed while it was read: {', '.join(changed)}")
     control.put_object(spark, f"{a.out.rstrip('/')}-manifest.json", balance.derivative_manifest(planned, after, a.seed, digests) | {"unmade": unmade})
     if unmade:
@@ -183,6 +184,15 @@ def quality_judge(a: argparse.Namespace) -> int:
     return code
 
 
+def run_teacher(a: argparse.Namespace) -> int:
+    """Traces of prepared examples, made stage by stage by a config's backend, and failures; 1 if there are any."""
+    spark, config, out = _spark(), configs.load(a.config, configs.TEACHER), a.out.rstrip("/")
+    own = checks.require_unique(records.read_records(spark, a.inputs[0], PREPARED), "example_id")
+    control.claim(spark, f"{out}/traces-manifest.json", {"stage": "teacher", "config": config, "inputs": {p: published.text_digest(spark, p) for p in a.inputs}}, a.resume)
+    good, bad = teacher.run(own, configs.backend(config["backend"]), _asked_by(config["backend"]), config["protocol_version"])
+    return _write_both(good, bad, out, "traces", a.resume)
+
+
 def _write_both(good, bad, out: str, name: str, resume: bool) -> int:
     mode = "overwrite" if resume else "errorifexists"
     records.write_jsonl(good, f"{out}/{name}", mode)
@@ -229,7 +239,7 @@ def human_summary(a: argparse.Namespace) -> int:
 
 COMMANDS = {
     "validate": validate, "prepare": prepare, "export": export_rows, "reselect": reselect, "count": show, "report": report, "flatten": flatten, "balance": balanced, "quality-merge": quality_merge, "human-export": human_export, "human-summary": human_summary,
-    "quality-generate": quality_generate, "quality-judge": quality_judge, "generate-conversations": generate_conversations}
+    "quality-generate": quality_generate, "quality-judge": quality_judge, "generate-conversations": generate_conversations, "run-teacher": run_teacher}
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from tracelab.functions import numbers as N
 from tracelab.functions.tokens import token_counts, within_budget
-from tracelab.operators import rounds
+from tracelab.operators import rounds, teacher
 from tracelab.operators.selection import quantiles, smallest_share
 from tracelab.plans import tables as D
 from tracelab.plans.registry import query
-from tracelab.schemas import CONTEXT_FIELDS, PATCH
+from tracelab.schemas import CONTEXT_FIELDS, PATCH, STATE_VALUES, STRATEGIES
 from tracelab.sources import memo, published, records
 from tracelab.sources.staging import shared_folder
 from tracelab.streaming import keyed
@@ -122,3 +122,43 @@ def token_budget_of_turns(spark, d):
     own = token_counts(D.read(spark, d, "conversations"), "text", public_tokenizers.path("word_bpe_49k.json"))
     total = own.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum("tokens").alias("tokens"))
     return total.withColumn("fits", within_budget(F.col("tokens"), 256))
+
+
+class Guide:
+    """A backend that makes each stage's reply from the seeker's last words alone; some plans repeat a strategy, some selections name nobody, some patches can't be read."""
+
+    def complete(self, role: str, messages: str, seed: int | None) -> str:
+        m = json.loads(messages)
+        turns = m["turns"] if "turns" in m else m["history"]["turns"]
+        n = len(turns[-1]["content"])
+        if role == "context_updater":
+            lists = {f: [] for f in CONTEXT_FIELDS}
+            return json.dumps({"add": lists | {CONTEXT_FIELDS[0]: [f"length {n}"]}, "replace": lists, "remove": lists} if n % 5 else {"add": 1})
+        if role == "multi_view_state_analyzer":
+            view = {"summary": "s", "evidence": "e", "uncertainty": "u"}
+            state = {f: v[n % (len(v) - 1)] for f, v in STATE_VALUES.items()}
+            return json.dumps({"views": {v: view for v in ("emotion", "need", "relationship", "intent")}, "state": state, "state_evidence": {f: {"evidence": "said so", "basis": "explicit"} for f in state}})
+        if role == "planner":
+            return json.dumps({"strategies": [STRATEGIES[n % 8], STRATEGIES[(n + 1) % 8], STRATEGIES[(n + 1) % 8 if n % 7 == 3 else (n + 2) % 8]]})
+        if role == "candidate":
+            return json.dumps({"response": f"{m['strategy']}: {n}", "response_goal": "g", "response_act": "a"})
+        return json.dumps({"selected_candidate_id": str(n % 4 + 1)})
+
+
+@query(f"""WITH h AS (SELECT conv_id, arg_max(role, turn) AS role, length(arg_max(text, turn)) AS n FROM conversations WHERE role <> 'system' GROUP BY 1),
+s AS (SELECT *, {D._sql_list(STRATEGIES)} AS names FROM h WHERE role = 'user')
+SELECT conv_id::VARCHAR AS example_id, CASE WHEN n % 7 = 3 THEN 'plan' WHEN n % 4 = 3 THEN 'selection' END AS failed_stage,
+  CASE WHEN n % 7 <> 3 AND n % 4 <> 3 THEN names[((n + n % 4) % 8 + 1)::INTEGER] || ': ' || n END AS final_response,
+  CASE WHEN n % 7 <> 3 AND n % 4 <> 3 THEN {D._sql_list(STATE_VALUES["dominant_emotion"])}[(n % 12 + 1)::INTEGER] END AS emotion,
+  CASE WHEN n % 7 <> 3 AND n % 4 <> 3 THEN CASE WHEN n % 5 = 0 THEN '' ELSE 'length ' || n END END AS concerns, CASE WHEN n % 7 <> 3 AND n % 4 <> 3 THEN 7 END AS calls FROM s""")
+def teacher_traces(spark, d):
+    """Traces of the conversations that end with a user, all stages; and where the others failed."""
+    role = F.when(F.col("role") == "user", "seeker").otherwise("supporter")
+    turns = F.array_sort(F.collect_list(F.struct("turn", role.alias("role"), F.col("text").alias("content"))))  # one conversation's turns
+    own = D.read(spark, d, "conversations").where("role <> 'system'").groupBy("conv_id").agg(turns.alias("t"), F.max_by("role", "turn").alias("last")).where("last = 'user'")
+    history = F.struct(F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("turns"))
+    examples = own.select(F.col("conv_id").cast("string").alias("example_id"), F.lit("train").alias("split"), history.alias("history"))
+    good, bad = teacher.run(examples, Guide)
+    none = F.lit(None).cast("string")
+    done = good.select("example_id", none.alias("failed_stage"), "final_response", F.col("state.dominant_emotion").alias("emotion"), F.array_join(F.col(f"context_after.{CONTEXT_FIELDS[0]}"), "|").alias("concerns"), F.size("call_records").alias("calls"))
+    return done.unionByName(bad.select("example_id", F.col("stage").alias("failed_stage"), none.alias("final_response"), none.alias("emotion"), none.alias("concerns"), F.lit(None).cast("int").alias("calls")))

@@ -97,6 +97,8 @@ CONVERSATIONS = {
     "hard_rounds": Field(int, 12, **between(1, 1000)),
     "backend": Field(dict, {}, inside=BACKEND),
 }
+#: Of runs that make traces.
+TEACHER = {"protocol_version": Field(str, "trace-1", lambda x: bool(x.strip()), "must not be blank"), "backend": Field(dict, {}, inside=BACKEND)}
 
 
 def load(path: str | Path, spec: Mapping[str, Field]) -> dict[str, Any]:

@@ -25,6 +25,11 @@ def table_digest(df: DataFrame) -> dict[str, Any]:
     return {"rows": found["n"], "digest": "".join(f"{int(found[f'w{at}'] or 0) % 2**32:08x}" for at in _WORDS)}
 
 
+def text_digest(spark: SparkSession, path: str) -> str:
+    """Of the lines of a text file, or of all in a folder, in any store and of any size; not of the lines' order."""
+    return table_digest(spark.read.text(path))["digest"]
+
+
 def file_digests(spark: SparkSession, folder: str) -> dict[str, dict[str, Any]]:
     """name, length and SHA-256 of a folder's part files; each file is read by one task, as one value, so of at most 2 GB."""
     parts = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)

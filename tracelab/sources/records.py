@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelab.operators.checks import Rule, first_problem, require_unique, unknown_keys
+from tracelab.operators.checks import Rule, first_problem, require_unique, unknown_keys, vector_problems
 from tracelab.schemas import ANNOTATION, PREPARED, PREPARED_PROTOCOLS, SPLITS
 from tracelab.sources.progress import observed
+from tracelab.sources.published import commit_of, publish, read_published
+from tracelab.sources.published import problems as published_problems
 from tracelab.sources.staging import staged
 
 
@@ -108,6 +110,24 @@ def write_annotations(pairs: DataFrame, path: str) -> None:
     own.write.option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
+def save_bank(bank: DataFrame, path: str, model: str) -> dict:
+    """Publishes example_id and vector (as floats) once, with the model that made them, their width and number; raises if vectors break the rules of a bank."""
+    own = bank.select("example_id", F.col("vector").cast("array<float>").alias("vector"))
+    if bad := vector_problems(own).select("example_id", "reason").take(3):
+        raise ValueError(f"not a bank: {[tuple(r) for r in bad]}")
+    width = own.agg(F.max(F.size("vector")).alias("w")).head()["w"]
+    return publish(own, path, more={"model": model, "width": width})
+
+
+def load_bank(spark: SparkSession, path: str, model: str, width: int | None = None) -> DataFrame:
+    """The vectors of a published bank; raises if it was made by another model, has another width, or isn't as it was published."""
+    record = commit_of(spark, path)
+    wrong = [f"{k} is {record[k]}, not {v}" for k, v in (("model", model), ("width", width)) if v is not None and record[k] != v] + published_problems(spark, path)
+    if wrong:
+        raise ValueError(f"{path}: {'; '.join(wrong)}")
+    return read_published(spark, path)
+
+
 def save_vectors(bank: DataFrame, path: str) -> None:
     bank.select("example_id", F.col("vector").cast("array<float>").alias("vector")).write.mode("errorifexists").parquet(path)
 
