@@ -15,7 +15,7 @@ from tracelab.llm import topk as X
 from tracelab.llm import warc as W
 
 D = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "pages", "conversations", "labels")
+TABLES = ("documents", "embeddings", "pages", "conversations", "labels", "benchmark")
 
 
 @pytest.mark.parametrize("name", list(Q.ORACLE_SQL))
