@@ -36,13 +36,15 @@ def stratum(phase: Column, emotion: Column, distress: Column) -> Column:
 def allocate(rows: DataFrame, quota: Column, rank: Column, group: str = "split") -> DataFrame:
     """rows: group, stratum, example_id; rank: a hex digest. Those that a group's quota takes. Sizes of strata are aggregated first, and a stratum's share is then found by histograms of
     its digests, so that a stratum may hold all rows."""
-    sizes = rows.withColumn("_q", quota).groupBy(group, "stratum").agg(F.count("*").alias("_n"), F.max("_q").alias("_q"))
+    names = rows.columns
+    rows = staged(rows.withColumns({"_q": quota, "_h": rank}), "allocate")  # read several times
+    sizes = rows.groupBy(group, "stratum").agg(F.count("*").alias("_n"), F.max("_q").alias("_q"))
     over = Window.partitionBy(group)
     shares = sizes.withColumn("_all", F.sum("_n").over(over))
     shares = shares.withColumn("_q", F.least("_q", "_all")).withColumns({"_base": F.expr("(_q * _n) div _all"), "_rest": F.col("_q") * F.col("_n") % F.col("_all")})
     left = F.col("_q") - F.sum("_base").over(over)
     shares = shares.withColumn("_k", F.col("_base") + (F.row_number().over(over.orderBy(F.desc("_rest"), "stratum")) <= left).cast("int")).where("_k > 0").select(group, "stratum", "_k", "_n")
-    return k_smallest(rows, [group, "stratum"], shares, rank, "example_id")
+    return k_smallest(rows, [group, "stratum"], shares, F.col("_h"), "example_id").select(*names)
 
 
 def plan(traces: DataFrame, seed: int, quotas: Mapping[str, Mapping[str, int]] = QUOTAS, targets=TARGET_STRATEGIES, source: str = SOURCE_STRATEGY) -> DataFrame:

@@ -48,7 +48,8 @@ def superstep(open_: DataFrame, factory: Callable[[], Backend], most: int, seed:
                 out.append(row | {"status": status, "rounds": rounds})
             yield pa.RecordBatch.from_pylist(out, _ROW)
 
-    return open_.select("conversation_id", "rounds").mapInArrow(run, STATE)
+    tasks = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # calls take time however small their rows are
+    return open_.select("conversation_id", "rounds").repartition(tasks).mapInArrow(run, STATE)
 
 
 def converse(profiles: DataFrame, factory: Callable[[], Backend], folder: str, limits: tuple[int, int, int] = (1, 8, 12), seed: int = 42, resume: bool = False, on_round: Callable[[dict[str, Any]], None] | None = None) -> DataFrame:

@@ -49,7 +49,7 @@ def _with(rows: DataFrame, few: DataFrame, groups: Sequence[str]) -> DataFrame:
 def k_smallest(rows: DataFrame, groups: Sequence[str], wanted: DataFrame, order: Column, tie: str) -> DataFrame:
     """rows that are among the k smallest of their group by (order, tie); order: a hex digest; wanted: a row for each group with _k and _n, the group's size. Groups that it lacks have none.
 
-    A group may hold all rows: it is never in one task. Rows whose digests are equal, as those that repeat an id, are."""
+    rows are read once for each pass and twice at the end: a written table, or a scan. A group may hold all rows: it is never in one task. Rows whose digests are equal, as those that repeat an id, are."""
     own = rows.withColumn(_ORDER, order)
     found = cuts(own.select(*groups, _ORDER), groups, wanted)
     joined = _with(own, found, groups)
@@ -66,7 +66,7 @@ def quantiles(df: DataFrame, value: Column, shares: Sequence[float], *groups: st
     Values are doubles, NaN the largest of all. Buckets of one value or of at most ``leaf`` rows are read off; others are cut into ``BINS`` bins between their least and largest value and
     counted again, where an order statistic lies in them. Without values n is 0 and the rest null."""
     keys = list(groups) or ["_all"]
-    own = df.select(*(groups or [F.lit(0).alias("_all")]), value.cast("double").alias("_v"))
+    own = staged(df.select(*(groups or [F.lit(0).alias("_all")]), value.cast("double").alias("_v")), "quantiles-values")  # read in every pass
     size = own.groupBy(*groups).agg(F.count("_v").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.sum("_v").alias("sum"), *_range())
     size = staged(size if groups else size.withColumn("_all", F.lit(0)), "quantiles-groups")
     place = lambda s: (F.col("n") - 1) * F.lit(float(s))

@@ -74,7 +74,8 @@ def memoised(requests: DataFrame, factory: Callable[[], Backend], folder: str, n
     own = requests.select(F.col("request_id").cast("string").alias("request_id"), "role", "messages", F.col("seed").cast("long").alias("seed"), key.alias("call_key"))
     known = cached(spark, folder)
     once = own.groupBy("call_key").agg(F.first("role").alias("role"), F.first("messages").alias("messages"), F.first("seed").alias("seed"))
-    missed = once.join(known, "call_key", "left_anti").withColumnRenamed("call_key", "request_id")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # calls take time however small their rows are: they aren't merged into few tasks
+    missed = once.join(known, "call_key", "left_anti").withColumnRenamed("call_key", "request_id").repartition(tasks)
     made = staged(call(missed, factory, namespace=namespace, attempts=attempts).drop("call_key").withColumnRenamed("request_id", "call_key"), "calls")
     found = staged(own.select("call_key").distinct().join(known, "call_key"), "calls-known")
     good = made.where("reply IS NOT NULL")
