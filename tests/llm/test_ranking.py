@@ -126,5 +126,11 @@ def test_whitening_of_large_entries(spark):
     away = 5 * x - x.sum(axis=0)
     value = np.linalg.eigvalsh((away.T @ away).astype(np.float64) / 125)
     assert abs(model.explained[0] - value[1] / value.sum()) < 1e-12
+    wide = [(i, [float(2**22 * (i % 3)), float(i)]) for i in range(5)]  # sums of 64 bits
+    model = W.fit(W.usable(spark.createDataFrame(wide, df.schema)))
+    x = np.array([[math.floor(64 * c) + 1_000_000 for c in v] for _, v in wide], object)
+    away = 5 * x - x.sum(axis=0)
+    value = np.linalg.eigvalsh((away.T @ away).astype(np.float64) / 125)
+    assert abs(model.explained[0] - value[1] / value.sum()) < 1e-12
     with pytest.raises(OverflowError):
         W.fit(W.usable(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>")))

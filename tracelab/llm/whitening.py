@@ -6,7 +6,7 @@ integers, whatever the partitions; what that number lacks to the mean is taken o
 decomposes it. Each vector is then projected in Arrow batches, and a last aggregation of the same kind over the whitened columns gives the largest departure from the identity.
 
 One aggregation holds at most ``PAIRS`` pairs; beyond, several are run over the same rows. Aggregates combine within tasks, so a task sends one row, of 8 bytes a pair.
-Sums are 64-bit integers where the number of vectors times the largest squared deviation proves that they fit, else decimals of 38 digits.
+Sums are doubles where the number of vectors times the largest squared deviation is below 2 ** 53, so that they are exact, then 64-bit integers where it proves that they fit, else decimals of 38 digits.
 
 Edge cases: rows whose vector is null or holds a null or a non-finite entry are left out. A vector shorter than the longest counts as if zeros followed, an empty one as all zeros. Rows that
 repeat an id each count and each have their rows, as have those without id. Components whose eigenvalue is zero but for rounding (where vectors are fewer than dimensions, or
@@ -97,7 +97,8 @@ def fit(rows: DataFrame, components: int = COMPONENTS, scale: int = SCALE, shift
     middle = [s // n for s in sums]
     off = max(max(b - m, m - a) for a, b, m in zip(low, high, middle, strict=True))
     centred = wide.select(*((F.col(c) - F.lit(m)).alias(c) for c, m in zip(wide.columns, middle, strict=True)))
-    products = pair_sums(centred, wide.columns, "bigint" if n * off**2 < 2**63 else "decimal(19,0)")
+    most = n * off**2  # no sum, of any part of the rows, is beyond it
+    products = pair_sums(centred, wide.columns, "double" if most < 2**53 else "bigint" if most < 2**63 else "decimal(19,0)")
     rest = [s - n * m for s, m in zip(sums, middle, strict=True)]
     covariance = np.array([[(n * int(products[i, j]) - rest[i] * rest[j]) / (n * n) for j in range(len(rest))] for i in range(len(rest))])
     return Fit(n, sums, low, high, covariance, components)
