@@ -91,3 +91,23 @@ def test_the_state_store_must_be_on_disk(spark):
     stream = spark.readStream.format("rate").load().selectExpr("'s' AS session", "value AS turn", f"CAST(NULL AS {PATCH.simpleString()}) AS patch", "true AS committed")
     with pytest.raises(ValueError, match="providerClass"):
         keyed.remembered(stream)
+
+
+def test_a_key_of_the_store_holds_many_sessions(rocks, tmp_path):
+    """What a key costs, calls and a batch, is shared: 3,000 sessions are at most as many keys as there are shards; turns that wait beyond those beside a context keep their order."""
+    spark, rows = rocks, [(f"s{k}", t, None, True) for k in range(3000) for t in (2, 1)]
+    fact = lambda x: {"add": {f: [x] for f in CONTEXT_FIELDS}, "replace": None, "remove": None}
+    late = [("long", t, fact(str(t % 7)), True) for t in range(keyed.BESIDE * 2, 0, -1)]
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    held = []
+    for part in (rows[::2] + late[:-1], rows[1::2] + late[-1:] + late[:3]):  # every session's second turn comes first
+        spark.createDataFrame(part, sessions.PATCHES).coalesce(1).write.mode("append").json(src)
+        stream = keyed.remembered(spark.readStream.schema(sessions.PATCHES).json(src), patience=None, idle=None, shards=16)
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        held.append(sum(o["numRowsTotal"] for p in query.recentProgress[-1:] for o in p["stateOperators"]))
+    assert held[0] <= 16 + len(late) and held[1] <= 16
+    got = spark.read.parquet(out)
+    assert sorted(map(tuple, got.where("session <> 'long'").select("session", "turn").collect())) == sorted(x[:2] for x in rows)
+    read = lambda df: sorted((r.turn, r.context, r.errors) for r in df.select("turn", "context", "errors").collect())
+    assert read(got.where("session = 'long'")) == read(C.fold_contexts(spark.createDataFrame(late, sessions.PATCHES), "session", "turn"))
