@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from tracelab.plans import catalogue, faults, features, registry, rules  # noqa: F401
+from tracelab.plans import catalogue, faults, features, registry, rules, tables  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -35,3 +35,15 @@ def test_entry_module_runs(spark):
 
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("table", ["traces", "candidates", "planning"])
+def test_lines_of_an_order_are_dealt_once(spark, table):
+    """One shuffle of narrow line rows, one of orders: nothing is grouped by the text of an id again."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for orders of any size
+    try:
+        plan = getattr(tables, table)(spark, D)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange ") == 2

@@ -131,9 +131,9 @@ def candidate_selected(spark, d):
 @query(f"""WITH {D.CANDIDATES} SELECT 'before' AS at, strategy_id AS slot, count(*) AS n FROM cand WHERE selected GROUP BY ALL
 UNION ALL SELECT 'after', 'S1', count(DISTINCT example_id) FROM cand""")
 def reselect_first(spark, d):
-    own = D.traces(spark, d)
-    count = lambda df, at: df.groupBy(F.lit(at).alias("at"), F.col("final_selection.selected_strategy_id").alias("slot")).agg(F.count("*").alias("n"))
-    return count(own, "before").unionByName(count(T.reselect(own), "after"))
+    slot = F.col("final_selection.selected_strategy_id")
+    both = T.reselect(D.traces(spark, d).withColumn("_before", slot)).select(F.explode(F.create_map(F.lit("before"), "_before", F.lit("after"), slot)).alias("at", "slot"))
+    return both.groupBy("at", "slot").agg(F.count("*").alias("n"))  # both counts in one pass
 
 
 @query(f"WITH {D.CANDIDATES} SELECT example_id, candidate_id, strategy_id, strategy FROM cand")
