@@ -127,3 +127,13 @@ def test_cached_calls(spark):
     assert again["1"].cached and not again["2"].cached and again["1"].reply == first[0].reply
     failed = backends.call(asked, lambda: backends.Scripted({"judge": "oops"})).collect()
     assert all(r.reply is None and r.error and r.attempt == 2 for r in failed)
+
+
+def test_a_parsed_text_is_evaluated_once(spark):
+    """What a text is made of isn't put in place of each use of it."""
+    text = F.concat("t", F.lit("zq"))
+    df = spark.createDataFrame([("[response] a",), ("[response]  　",), (None,)], "t string")
+    for parsed in (X.visible_problem(text), X.visible_reply(text)):
+        assert df.select(parsed.alias("p"))._jdf.queryExecution().optimizedPlan().toString().count("zq") == 1
+    assert [r[0] for r in df.select(X.visible_reply(F.col("t"))).collect()] == ["a", None, None]
+    assert [r[0] for r in df.select(X.not_blank(F.col("t"))).collect()] == [True, True, False]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +23,12 @@ def strip(text: Column) -> Column:
 
 
 def not_blank(text: Column) -> Column:
-    return F.coalesce(F.length(strip(text)) > 0, F.lit(False))
+    return F.coalesce(F.rlike(text, F.lit(rf"(?U)[^{STRIPPED[1:-1]}]")), F.lit(False))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once for a row, however often use names it: optimised plans put expressions in place of columns."""
+    return F.transform(F.array(value), use)[0]
 
 
 def tokens(text: Column) -> Column:
@@ -67,26 +74,37 @@ def has_marker(value: Column) -> Column:
 
 def visible_reply(text: Column) -> Column:
     """What follows the first reply marker; null if there is none or nothing follows."""
-    at = F.locate("[response]", text)
-    reply = strip(F.substring(text, at + F.lit(len("[response]")), F.length(text)))
-    return F.when((at > 0) & (F.length(reply) > 0), reply)
+
+    def own(t: Column) -> Column:
+        at = F.position(F.lit("[response]"), t)
+        rest = F.substring(t, at + F.lit(len("[response]")), F.length(t))
+        return F.when((at > 0) & not_blank(rest), strip(rest))
+
+    return once(text, own)
 
 
 def visible_problem(text: Column) -> Column:
     """Why a text isn't a sequence of all markers with values, the first problem; null if it is. A value ends at the first next marker."""
+    return once(text, _visible_problem)
+
+
+def _visible_problem(text: Column) -> Column:
     following = (*VISIBLE_MARKERS[1:], None)
     markers = F.array(*(F.struct(F.lit(m).alias("marker"), F.lit(n).cast("string").alias("following")) for m, n in zip(VISIBLE_MARKERS, following, strict=True)))
     say = lambda before, marker, after: F.concat(F.lit(f"visible-SFT {before}"), marker, F.lit(after))
 
     def step(s: Column, m: Column) -> Column:
-        rest = F.substring(text, s["at"] + F.length(m["marker"]), F.length(text))
-        end = F.when(m["following"].isNull(), F.length(rest) + 1).otherwise(F.position(m["following"], rest))
+        from_ = s["at"] + F.length(m["marker"])
+        end = lambda rest: F.when(m["following"].isNull(), F.length(rest) + 1).otherwise(F.position(m["following"], rest))
+        return once(F.substring(text, from_, F.length(text)), lambda rest: once(end(rest), lambda e: after(s, m, from_, rest, e)))
+
+    def after(s: Column, m: Column, from_: Column, rest: Column, end: Column) -> Column:
         problem = (
             F.when(F.substring(text, s["at"], F.length(m["marker"])) != m["marker"], say("marker ", m["marker"], " is missing or out of order"))
             .when(end == 0, say("marker ", m["following"], " is missing or out of order"))
             .when(~not_blank(F.substring(rest, F.lit(1), end - 1)), say("value for ", m["marker"], " must not be empty"))
         )
-        return F.struct((s["at"] + F.length(m["marker"]) + end - 1).alias("at"), F.coalesce(s["problem"], problem).alias("problem"))
+        return F.struct((from_ + end - 1).alias("at"), F.coalesce(s["problem"], problem).alias("problem"))
 
     start = F.struct(F.lit(1).alias("at"), F.lit(None).cast("string").alias("problem"))
     return F.aggregate(markers, start, step)["problem"]
