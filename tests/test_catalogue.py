@@ -47,3 +47,9 @@ def test_lines_of_an_order_are_dealt_once(spark, table):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange ") == 2
+
+
+def test_a_derivative_reads_its_lines_twice(spark):
+    """Once as they were and once as changed; the assignments are written tables."""
+    plan = registry.QUERIES["derivative_diff"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 2

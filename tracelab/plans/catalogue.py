@@ -287,12 +287,12 @@ def derivative_diff(spark, d):
     own = D.traces(spark, d)
     planned = _plan(spark, d).where("source = 'reuse'")
     at = F.col("example_id").cast("long") % 13
-    after = balance.apply_reuse(own, planned).join(planned.select("example_id", F.lit(True).alias("_assigned")), "example_id", "left").join(own.select("example_id", F.col("final_selection").alias("_before")), "example_id")
+    after = balance.apply_reuse(own.withColumn("_before", F.col("final_selection")), planned).join(planned.select("example_id", F.lit(True).alias("_assigned")), "example_id", "left")
     assigned = F.coalesce("_assigned", F.lit(False))
     selection = F.when((at == 3) & ~assigned, F.col("final_selection").withField("response", F.lit("~"))).when((at == 4) & assigned, F.col("_before")).otherwise(F.col("final_selection"))
     after = after.withColumns({"final_selection": selection, "state": F.when(at == 2, F.col("state").withField("dominant_emotion", F.lit("~"))).otherwise(F.col("state"))})
-    added = after.where(at == 5).withColumn("example_id", F.concat(F.lit("new-"), "example_id"))
-    return balance.derivative_problems(own, after.where(at != 1).unionByName(added), planned)
+    ids = F.when(at == 1, F.array().cast("array<string>")).when(at == 5, F.array("example_id", F.concat(F.lit("new-"), "example_id"))).otherwise(F.array("example_id"))
+    return balance.derivative_problems(own, after.withColumn("example_id", F.explode(ids)), planned)
 
 
 @query(f"""{_PLAN}, q AS (SELECT *, row_number() OVER (PARTITION BY source, split, target_strategy ORDER BY {_sha(f"'{D.SEED}'", "'review'", "example_id")}, example_id) AS pos,
