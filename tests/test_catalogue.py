@@ -1,7 +1,9 @@
 import duckdb
 import pytest
 
+from tracelab.operators import balance
 from tracelab.plans import catalogue, faults, features, registry, rules, tables  # noqa: F401
+from tracelab.sources.staging import staged
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -53,3 +55,28 @@ def test_a_derivative_reads_its_lines_twice(spark):
     """Once as they were and once as changed; the assignments are written tables."""
     plan = registry.QUERIES["derivative_diff"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [l_orderkey") == 2
+
+
+def test_a_join_by_id_leaves_traces_where_they_are(spark):
+    """Exchanges of lines, orders and assignments, and of the counts; none of traces with their texts."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assigned = spark.range(9).selectExpr("cast(id AS string) AS example_id", "'reuse' AS source", "'1' AS candidate_id", "'Question' AS target_strategy")
+        after = balance.apply_reuse(tables.traces(spark, D), assigned).groupBy("final_selection.selected_strategy").count()
+        plan = after._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange ") == 4
+
+
+def test_the_planner_reads_lines_once_and_writes_no_digests(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(balance, "staged", lambda df, tag: written.append(df) or staged(df, tag))
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    catalogue._plan(spark, D)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    ran = store.executionsList(before, 10_000)
+    assert sum("lineitem.parquet" in ran.apply(i).physicalPlanDescription() for i in range(ran.length())) == 1
+    assert not [df.columns for df in written if "_h" in df.columns or "candidates" in df.columns]

@@ -6,7 +6,7 @@ the smallest digests are taken, found by histograms of digests. All splits are p
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,42 +37,48 @@ def allocate(rows: DataFrame, quota: Column, rank: Column, group: str = "split")
     """rows: group, stratum, example_id; rank: a hex digest. Those that a group's quota takes. Sizes of strata are aggregated first, and a stratum's share is then found by histograms of
     its digests, so that a stratum may hold all rows."""
     names = rows.columns
-    rows = staged(rows.withColumns({"_q": quota, "_h": rank}), "allocate")  # read several times
+    rows = staged(rows.withColumn("_q", quota), "allocate")  # read several times; digests are made again each time, as they are longer than the rest of a row
     sizes = rows.groupBy(group, "stratum").agg(F.count("*").alias("_n"), F.max("_q").alias("_q"))
     over = Window.partitionBy(group)
     shares = sizes.withColumn("_all", F.sum("_n").over(over))
     shares = shares.withColumn("_q", F.least("_q", "_all")).withColumns({"_base": F.expr("(_q * _n) div _all"), "_rest": F.col("_q") * F.col("_n") % F.col("_all")})
     left = F.col("_q") - F.sum("_base").over(over)
     shares = shares.withColumn("_k", F.col("_base") + (F.row_number().over(over.orderBy(F.desc("_rest"), "stratum")) <= left).cast("int")).where("_k > 0").select(group, "stratum", "_k", "_n")
-    return k_smallest(rows, [group, "stratum"], shares, F.col("_h"), "example_id").select(*names)
+    return k_smallest(rows, [group, "stratum"], shares, rank, "example_id").select(*names)
 
 
-def plan(traces: DataFrame, seed: int, quotas: Mapping[str, Mapping[str, int]] = QUOTAS, targets=TARGET_STRATEGIES, source: str = SOURCE_STRATEGY) -> DataFrame:
+def plan(
+    traces: DataFrame, seed: int, quotas: Mapping[str, Mapping[str, int]] | Callable[[DataFrame], Mapping[str, Mapping[str, int]]] = QUOTAS, targets=TARGET_STRATEGIES, source: str = SOURCE_STRATEGY
+) -> DataFrame:
     """traces: example_id, split, stratum, strategy (selected), selected_id, candidates (candidate_id, strategy). Assignments: example_id, split, target_strategy, source, candidate_id.
 
-    For each target: rows with a reusable candidate, then rows that no later target could reuse, then any. Each step depends on those before it, so their rows are staged."""
-    pool = traces.where(F.col("strategy") == source).select("example_id", "split", "stratum", "selected_id", "candidates", *(reusable(F.col("candidates"), F.col("selected_id"), t).alias(f"_r{i}") for i, t in enumerate(targets)))
+    For each target: rows with a reusable candidate, then rows that no later target could reuse, then any. Each step depends on those before it, so their rows are staged. quotas, of each
+    split and target, may be a function of the pool, the written rows of the source strategy, so that traces are read once."""
+    reused = [reusable(F.col("candidates"), F.col("selected_id"), t) for t in targets]
+    chosen = [F.coalesce(r, _first_of(t), F.col("selected_id")) for r, t in zip(reused, targets, strict=True)]
+    pool = traces.where(F.col("strategy") == source).select("example_id", "split", "stratum", *(r.isNotNull().alias(f"_r{i}") for i, r in enumerate(reused)), *(c.alias(f"_c{i}") for i, c in enumerate(chosen)))
     pool = staged(pool, "plan-pool")
+    quotas = quotas(pool) if callable(quotas) else quotas
     taken: DataFrame | None = None
     for i, target in enumerate(targets):
         free = pool if taken is None else pool.join(taken.select("example_id"), "example_id", "left_anti")
         rank = N.digest(seed, target, F.col("example_id"))
         quota = F.coalesce(*(F.when(F.col("split") == s, F.lit(q.get(target, 0))) for s, q in quotas.items()), F.lit(0))
         step, need = None, quota
-        later = [F.col(f"_r{j}").isNull() for j in range(i + 1, len(targets))]
         apart = F.lit(True)
-        for x in later:
-            apart = apart & x
-        for own in (F.col(f"_r{i}").isNotNull(), apart, F.lit(True)):
+        for j in range(i + 1, len(targets)):
+            apart = apart & ~F.col(f"_r{j}")
+        for own in (F.col(f"_r{i}"), apart, F.lit(True)):
             rest = free if step is None else free.join(step.select("example_id"), "example_id", "left_anti")
+            rest = rest.where(own).select("example_id", "split", "stratum", f"_r{i}", f"_c{i}")
+            names = rest.columns
             if step is not None:
                 done = step.groupBy("split").agg(F.count("*").alias("_done"))
                 rest = rest.join(F.broadcast(done), "split", "left")  # a row for each split
                 need = F.greatest(quota - F.coalesce("_done", F.lit(0)), F.lit(0))
-            got = staged(allocate(rest.where(own), need, rank).select(*free.columns), "plan-step")
+            got = staged(allocate(rest, need, rank).select(*names), "plan-step")
             step = got if step is None else step.unionByName(got)
-        chosen = F.coalesce(F.col(f"_r{i}"), _first_of(target), F.col("selected_id"))
-        step = step.select("example_id", "split", F.lit(target).alias("target_strategy"), F.when(F.col(f"_r{i}").isNotNull(), "reuse").otherwise("generate").alias("source"), chosen.alias("candidate_id"))
+        step = step.select("example_id", "split", F.lit(target).alias("target_strategy"), F.when(F.col(f"_r{i}"), "reuse").otherwise("generate").alias("source"), F.col(f"_c{i}").alias("candidate_id"))
         taken = step if taken is None else taken.unionByName(step)
     return taken
 

@@ -199,15 +199,14 @@ def rejection_flags(spark, d):
 # Balance
 
 
-def _quotas(planning: DataFrame) -> dict[str, dict[str, int]]:
+def _quotas(pool: DataFrame) -> dict[str, dict[str, int]]:
     """The fixed quotas, scaled to the source rows of each split."""
-    rows = {r["split"]: r["count"] for r in planning.where(F.col("strategy") == SOURCE_STRATEGY).groupBy("split").count().collect()}
+    rows = {r["split"]: r["count"] for r in pool.groupBy("split").count().collect()}
     return {s: {t: rows.get(s, 0) * n // 1000 for t, n in q.items()} for s, q in QUOTAS.items()}
 
 
 def _plan(spark, d) -> DataFrame:
-    own = D.planning(spark, d)
-    return balance.plan(own, D.SEED, _quotas(own))
+    return balance.plan(D.planning(spark, d), D.SEED, _quotas)
 
 
 def _planner_sql() -> str:
