@@ -80,3 +80,10 @@ def test_the_planner_reads_lines_once_and_writes_no_digests(spark, monkeypatch):
     ran = store.executionsList(before, 10_000)
     assert sum("lineitem.parquet" in ran.apply(i).physicalPlanDescription() for i in range(ran.length())) == 1
     assert not [df.columns for df in written if "_h" in df.columns or "candidates" in df.columns]
+
+
+def test_rules_over_traces_are_evaluated_once(spark):
+    """Traces are made once for both kinds of rows, and what a rule reads is a column by then, not the expressions behind it."""
+    plan = registry.QUERIES["trace_breaks"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 1
+    assert plan.count("what about supplier") == 1

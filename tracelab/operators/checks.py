@@ -23,10 +23,17 @@ def first_problem(rules: Sequence[Rule]) -> Column:
     return out
 
 
+def marked(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """df with ``reason``, the first rule that a row breaks, or null.
+
+    Rules are evaluated once for a row: as what a row explodes to, the reason isn't pushed down as a filter, in which each use of a column would be the whole expression behind it."""
+    return df.withColumn("reason", F.explode(F.array(first_problem(rules))))
+
+
 def validated(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
     """Rows that keep all rules, and the others with a ``reason``."""
-    marked = df.withColumn("reason", first_problem(rules))
-    return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
+    both = marked(df, rules)
+    return both.where("reason IS NULL").drop("reason"), both.where("reason IS NOT NULL")
 
 
 def required(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
