@@ -87,3 +87,13 @@ def test_rules_over_traces_are_evaluated_once(spark):
     plan = registry.QUERIES["trace_breaks"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [l_orderkey") == 1
     assert plan.count("what about supplier") == 1
+
+
+def test_exports_deal_lines_of_their_splits_only(spark):
+    plan = registry.QUERIES["export_sft"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert "% 10) < 7" in plan[plan.index("RepartitionByExpression") : plan.index("Relation [l_orderkey")]
+
+
+def test_a_round_trip_reads_its_lines_once(spark):
+    plan = registry.QUERIES["lines_round_trip"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("] json") == 1
