@@ -346,3 +346,30 @@ def test_order_matters_to_similarity_and_keys():
     own = N.shingles(words)
     assert not set(N.keys(own).tolist()) & set(N.keys(own[::-1]).tolist())
     assert len(set(N.shingles(np.full(30, 7, np.uint64)).tolist())) == 26  # labelled
+
+
+def tasks_of(spark, group, run):
+    """What run() gives, and how many tasks it took with 200 shuffle partitions that aren't merged."""
+    own = {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "256k"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    seen = spark.sparkContext.statusTracker()
+    stages = {s for j in seen.getJobIdsForGroup(group) for s in seen.getJobInfo(j).stageIds}
+    return out, sum(i.numCompletedTasks for i in map(seen.getStageInfo, stages) if i)
+
+
+def test_few_rows_take_few_tasks_with_many_partitions(spark):
+    """A round's tables are written in as many files as their rows need, not in one for each shuffle partition."""
+    name = lambda i: f"{i:04d}".encode()
+    edges = spark.createDataFrame([(name(i), name(i + 1)) for i in range(60)], "a binary, b binary")
+    got, tasks = tasks_of(spark, "few-edges", lambda: N.contracted(edges).collect())
+    assert {bytes(r.node): bytes(r.label) for r in got} == {name(i): name(0) for i in range(1, 61)}
+    assert tasks < 250, tasks

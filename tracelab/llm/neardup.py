@@ -20,6 +20,9 @@ in many classes grows with the square of its members.
 Recall: words that are changed one by one break K shingles each. Two texts of words similar to 0.8 then share about 0.42 of their shingles, a band's key with a chance of
 0.42 ** KEPT, and no bucket with one of 2 in 100; at 0.85 it is 1 in 1000. Copies of one text are mostly joined through each other besides.
 
+Cost of a round: the tables of buckets, pairs, links and classes are small beside the texts. Each is written in as many files as its rows need, not one for each shuffle
+partition, so that with many partitions and few rows a round is tens of tasks and its joins can be broadcast.
+
 Edge cases: a null text is an empty one; empty texts are copies of each other. Repeated rows are copies. The document that stands for a class has the smallest id, then
 the smallest digest, and of repeated rows one is chosen; a null id comes after all others. An empty table gives an empty result. Extra columns are left out by ``near_duplicates`` and pass through ``one_of_each``
 untouched, whatever their names.
@@ -28,6 +31,7 @@ untouched, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +48,8 @@ K, BANDS, KEPT, SIMILARITY, SALTS, CACHE, SMALL, ROUNDS = 5, 20, 2, 0.8, 8, 500_
 FAN = 1000
 #: Members and words of a block, and words that a product of two blocks takes at a time.
 BLOCK, VOLUME, WIDE = 512, 4_000_000, 4096
+#: Rows of a file of a table of keys, pairs or labels, and files that such a table may always have.
+FEW, FILES = 20_000, 8
 LAST = 2**63 - 1
 _M = S.multipliers(K + 1, 1)
 _TURNS = S.multipliers(BANDS, 11)
@@ -197,6 +203,12 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, doc_id long, raw binary, node binary, n int, keys array<long>, words binary")
 
 
+def _few(df: DataFrame, tag: str, rows: int) -> DataFrame:
+    """df as a written table, in no more files than about so many rows need. Where that is as many as there are shuffle partitions, as Spark deals it."""
+    n = max(FILES, math.ceil(rows / FEW))
+    return S.written(df.coalesce(n) if n < S.partitions(df.sparkSession) else df, tag)
+
+
 def _salted(many: DataFrame, few: DataFrame, on: list[str], salt, how: str = "inner") -> DataFrame:
     few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return many.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(few, [*on, "_salt"], how).drop("_salt")
@@ -274,13 +286,14 @@ def block_links(labels: list[bytes], texts: list[np.ndarray], first: np.ndarray,
     return out
 
 
-def blockwise(now: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) of labels between the members of each bucket. now, a written table: key, node, n, label."""
+def blockwise(now: DataFrame, sequences: DataFrame, least: float, rows: int | None = None) -> DataFrame:
+    """Links (a, b) of labels between the members of each bucket. now, a written table of at most so many rows: key, node, n, label."""
     of_label = now.groupBy("key", "label").agg(F.count("*").alias("count"), F.sum("n").alias("volume"))
     about = of_label.groupBy("key").agg(F.max(F.struct("count", "volume", "label")).alias("main"), F.sum("count").alias("count"), F.sum("volume").alias("volume"))
     blocks = lambda count, volume: F.greatest(F.ceil(count / BLOCK), F.ceil(volume / VOLUME), F.lit(1)).cast("int")
     others = blocks(F.col("count") - F.col("main.count"), F.col("volume") - F.col("main.volume"))
     about = about.select("key", F.col("main.label").alias("main"), others.alias("others"), blocks(F.col("main.count"), F.col("main.volume")).alias("mains"))
+    about = _few(about, "neardup-blocks", now.count() if rows is None else rows)
     split = _salted(now, about, ["key"], F.xxhash64("node"))
     is_main, draw = F.col("label") == F.col("main"), F.xxhash64("node", "key")
     own = F.when(is_main, F.col("others") + F.pmod(draw, F.col("mains"))).otherwise(F.pmod(draw, F.col("others"))).cast("int")
@@ -300,54 +313,60 @@ def blockwise(now: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
 
 def contracted(edges: DataFrame) -> DataFrame:
     """node and label, the smallest node of its component, for the nodes of edges (a, b) whose label isn't their own."""
-    edges = S.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "neardup-edges")
-    labels = None
-    while not edges.isEmpty():
+    edges = S.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), "neardup-edges")
+    labels, most = None, edges.count()
+    rows = most
+    while rows:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy("a").agg(F.min("b").alias("p")).where("p < a")
+        parent = _few(both.groupBy("a").agg(F.min("b").alias("p")).where("p < a"), "neardup-parents", rows)
         moved = True
         while moved:  # of chains of parents, all end at their last node, so that no node of this round is met again in the next
             hop = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            parent = S.written(parent.join(hop, "p", "left").select("a", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "neardup-parents")
+            parent = _few(parent.join(hop, "p", "left").select("a", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "neardup-parents", rows)
             moved = not parent.where("moved").isEmpty()
             parent = parent.select("a", "p")
         up = lambda df, c: df.join(parent.select(F.col("a").alias(c), F.col("p").alias("_p")), c, "left").withColumn(c, F.coalesce("_p", c)).drop("_p")
         nodes = parent.select(F.col("a").alias("node"), F.col("p").alias("label"))
         labels = nodes if labels is None else up(labels, "label").unionByName(nodes)
-        labels = S.written(labels, "neardup-labels")
+        labels = _few(labels, "neardup-labels", most)
         edges = up(up(edges, "a"), "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        edges = S.written(edges, "neardup-edges")
+        edges = _few(edges, "neardup-edges", rows)
+        rows = edges.count()
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
 def classes(table: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """node and label for the nodes of a written ``sketches`` table whose class has another node too; label is a node of the class."""
     once = table.where("keys IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    spread = once.select("node", "n", F.explode("keys").alias("key"))
-    several = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    members = S.written(_salted(spread, several, ["key"], F.xxhash64("node")), "neardup-members")
-    some = members.select("node").distinct()
+    once = _few(once, "neardup-keys", table.count())
+    spread, order = once.select("node", "n", F.explode("keys").alias("key")), F.xxhash64("key", "node")
+    several = spread.groupBy("key").agg(F.count("*").alias("size"), F.min(order).alias("least")).where("size > 1")
+    active = _salted(spread, several, ["key"], F.xxhash64("node")).select("key", "node", "n", F.col("node").alias("label"), "size", (order == F.col("least")).alias("leads"))
+    active = _few(active, "neardup-members", BANDS * table.count())
+    some = active.select("node").distinct()
     sequences = S.written(table.where("keys IS NOT NULL").select("node", "words").join(some, "node").dropDuplicates(["node"]), "neardup-shingles")
     labels, tested = None, None
     for turn in range(ROUNDS + 1):
-        now = members if labels is None else members.join(labels, "node", "left")
-        now = now.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
-        order = F.xxhash64("key", "node")
-        about = now.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(order).alias("least")).where("low <> high").select("key", "size", "least")
-        leads = order == F.col("least")
-        leads = leads | (F.col("size") <= SMALL) if turn else leads
-        active = S.written(_salted(now, about, ["key"], F.xxhash64("node")).select("key", "node", "n", "label", "size", leads.alias("leads")), "neardup-active")
-        if active.isEmpty():
+        rows = active.count()
+        if turn:
+            now = members if labels is None else members.join(labels, "node", "left")
+            now = now.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
+            about = now.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(order).alias("least"))
+            about = _few(about.where("low <> high").select("key", "size", "least"), "neardup-buckets", rows)
+            leads = (order == F.col("least")) | (F.col("size") <= SMALL)
+            active = _few(_salted(now, about, ["key"], F.xxhash64("node")).select("key", "node", "n", "label", "size", leads.alias("leads")), "neardup-active", rows)
+            rows = active.count()
+        if not rows:
             break
         if turn == ROUNDS:  # what is left are large buckets
-            links = blockwise(active, sequences, least)
+            links = blockwise(active, sequences, least, rows)
         else:
             leaders = active.where("leads").select("key", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("label").alias("other"), F.ceil(F.col("size") / FAN).cast("int").alias("fan"))
             met = _salted(active.select("key", "node", "n", "label"), leaders, ["key"], F.xxhash64("node"))
             fits = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9
             first, second = F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")
             pairs = met.where(fits & (F.col("label") != F.col("other"))).groupBy(first, second).agg(F.max(F.struct("fan", "leader", "node")).alias("x")).select("a", "b", "x.*")
-            pairs = S.written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "neardup-pairs")
+            pairs = _few(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "neardup-pairs", rows * (SMALL if turn else 1))
             tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
             links = verified(pairs, sequences, least)
             if labels is not None:
@@ -358,7 +377,7 @@ def classes(table: DataFrame, least: float = SIMILARITY) -> DataFrame:
             labels = new
         else:
             moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("_l")), "label", "left").select("node", F.coalesce("_l", "label").alias("label"))
-            labels = S.written(moved.unionByName(new.join(labels.select("node"), "node", "left_anti")), "neardup-labels")
+            labels = _few(moved.unionByName(new.join(labels.select("node"), "node", "left_anti")), "neardup-labels", table.count())
         members = active.where("NOT leads").select("key", "node", "n")
     return labels if labels is not None else table.sparkSession.createDataFrame([], "node binary, label binary")
 
@@ -369,7 +388,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     labels = classes(table, least)
     rows = table.select("row", F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "raw", "node")
     nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "raw", "row")).alias("first"), F.count("*").alias("copies"))
-    nodes = S.written(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "neardup-nodes")
+    nodes = _few(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "neardup-nodes", table.count())
     best = nodes.groupBy("label").agg(F.min("first").alias("best"), F.sum("copies").alias("all"))
     of_node = _salted(nodes.select("node", "label"), best, ["label"], F.xxhash64("node")).select("node", "best", "all")
     joined = _salted(rows, of_node, ["node"], F.xxhash64("row"))
