@@ -146,6 +146,35 @@ def test_many_pages_and_large_pages_are_bounded_archives(spark, tmp_path, monkey
     assert sorted((tuple(r)[:5] for r in W.read_archives(spark, f"file://{tmp_path}/w").collect()), key=str) == brute_pages(rows)
 
 
+def test_segments_are_kept_only_of_records_that_go_on_in_another_archive(spark, tmp_path, monkeypatch):
+    kept, written = [], W.S.written
+    monkeypatch.setattr(W.S, "written", lambda *a: kept.append(written(*a)) or kept[-1])
+    rows = [(i, "u", f"{i} " * (8000 if i % 10 == 0 else 900)) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for at, archive_bytes in (("one", 32 << 20), ("many", 60_000)):
+        monkeypatch.setattr(W, "ARCHIVE_BYTES", archive_bytes)
+        W.write_archives(df, f"file://{tmp_path}/{at}", segment_bytes=1024)
+        got = W.read_archives(spark, f"file://{tmp_path}/{at}").collect()
+        assert all(r.error is None for r in got) and sorted((tuple(r)[:5] for r in got), key=str) == brute_pages(rows)
+    one, many = (x.where("origin IS NOT NULL") for x in kept)
+    files = len([*(tmp_path / "many").glob("*.gz")])
+    assert one.count() == 0 and files > 4 and 0 < many.select("origin").distinct().count() <= files - 1
+
+
+def test_segments_in_any_order_and_archive(spark, tmp_path):
+    def records(page, text):
+        return W.page_records(page, "u", text, W.digest(text), None, False, f"urn:{page}", 60)
+
+    in_one, over_two, twice, also_there = (records(i, bytes([96 + i]) * 500) for i in range(1, 5))
+    archives = [in_one[::-1] + over_two[::2] + twice + twice[1:2] + also_there, over_two[1::2] + also_there[1:2]]
+    (tmp_path / "w").mkdir()
+    for n, x in enumerate(archives):
+        (tmp_path / "w" / f"{n}.warc.gz").write_bytes(gzip.compress(b"".join(r + b"\r\n\r\n" for r in x)))
+    got = sorted(((r.page_id or 0, r.payload_bytes, r.payload_digest, r.error is None) for r in W.read_archives(spark, f"file://{tmp_path}/w").collect()), key=str)
+    sha = [W.digest(bytes([96 + i]) * 500) for i in range(5)]
+    assert got == [(0, None, None, False), (1, 500, sha[1], True), (2, 500, sha[2], True), (3, None, sha[3], False), (4, 500, sha[4], True)]
+
+
 def test_malformed_records_are_rows(spark, tmp_path):
     sha = W.digest(b"abc")
     good = [b"".join(r + b"\r\n\r\n" for r in W.page_records(i, "u", b"abc" * k, W.digest(b"abc" * k), None, False, f"urn:{i}", 60)) for i, k in ((1, 1), (2, 90))]

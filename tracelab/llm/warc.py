@@ -7,12 +7,13 @@ with WARC-Segment-Total-Length. Records end with two line ends, which is the lin
 the folder in spark.checkpoint.dir.
 
 The reader takes each archive, splits records by their Content-Length, and lets those that are whole through. Segments are grouped by
-origin, which is unique to a record, put in order of their numbers and joined if numbers are complete and lengths add up to the total. Then chunked framing is decoded and the
+origin, which is unique to a record, put in order of their numbers and joined if numbers are complete and lengths add up to the total: first those of an archive, where it is read, so that
+only segments of records that go on in another archive are kept and shuffled. Then chunked framing is decoded and the
 payload's digest is compared with the record's. A record that fails in any of this is a row with ``error`` and what its head tells; after bytes that don't make a record, reading goes on at
-the next one that begins.
+the next one that begins. An origin that is whole in one archive is a record, and further segments of it in others are a row with ``error``.
 
 An archive holds about ``ARCHIVE_BYTES`` at most, as a record is no longer than a segment, so that a task can hold it. Copies of one payload are found by digest: digests are counted before
-the shuffle, and only ids and digests of payloads with copies are joined, salted, so that no task gets all copies of one.
+the shuffle, and ids and digests of payloads with copies are joined to the pages, salted, so that no task gets all copies of one.
 
 A revisit names its target's record in WARC-Refers-To; where rows repeat the target's id and payload, their records' IDs have a number besides, which it leaves out.
 
@@ -205,21 +206,40 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             return (_page(head.get("x-page-id")), None, sha, "response", None, None, head.get("warc-record-id", ""), 1, total, block)
         return (None, None, None, None, None, None, head.get("warc-segment-origin-id", ""), number, total, block)
 
+    def reassembled(rows: list[tuple]) -> tuple:
+        """Of the rows of one origin: page, digest, number, total, part; raises ValueError if they aren't whole."""
+        block = joined_segments([x[2:] for x in rows])
+        page, sha = min(rows, key=lambda x: x[2])[:2]
+        return _content({"x-page-id": NONE_ID if page is None else str(page), "warc-payload-digest": sha or "", "warc-type": "response"}, block)
+
+    def of_archive(rows: Iterator[tuple]) -> list[tuple]:
+        """The rows of one archive, with one in place of segments that are all in it."""
+        out, parts = [], {}
+        for x in rows:
+            if x[6] is None:
+                out.append(x)
+            else:
+                parts.setdefault(x[6], []).append(x)
+        for own in parts.values():
+            try:
+                out.append((*reassembled([(x[0], x[2], *x[7:]) for x in own]), None, None, None, None))
+            except ValueError:
+                out += own
+        return out
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0):
-                rows = [row(*x) for x in split_records(gzip.decompress(data.as_py()))]
+                rows = of_archive(row(*x) for x in split_records(gzip.decompress(data.as_py())))
                 for at in range(0, len(rows), 4000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 4000], strict=True), schema, strict=True)], names=names)
 
-    def reassembled(rows: list[tuple]) -> tuple:
-        """Of the rows of one origin, in order of their numbers: page, digest, number, total, part."""
-        page, sha = rows[0][0], rows[0][1]
-        fields = {"x-page-id": NONE_ID if page is None else str(page), "warc-payload-digest": sha or "", "warc-type": "response"}
+    def ended(rows: list[tuple]) -> tuple:
+        """As reassembled, of all there is of an origin, in order of their numbers."""
         try:
-            return _content(fields, joined_segments([x[2:] for x in rows]))
+            return reassembled(rows)
         except ValueError as why:
-            return page, None, sha, "response", None, str(why)
+            return rows[0][0], None, rows[0][1], "response", None, str(why)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, []  # the origin whose rows still come
@@ -227,14 +247,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             out = []
             for origin, *x in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if own and origin != last:
-                    out.append(reassembled(own))
+                    out.append(ended(own))
                     own = []
                 last = origin
                 own.append(tuple(x))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema, strict=False)], names=names[:6])
         if own:
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(reassembled(own), schema, strict=False)], names=names[:6])
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(ended(own), schema, strict=False)], names=names[:6])
 
     files = spark.read.format("binaryFile").load(path).select("content")
     records = S.written(files.mapInArrow(parse, RECORD), "warc-records", "zstd")
